@@ -11,21 +11,19 @@ from postloom.scratch import Scratch
 def compress(parents: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Point every node of a forest ``(node, parent)`` at its root.
 
-    Pointer jumping: each pass doubles the distance, so the passes grow with
-    the logarithm of the depth. Roots are not listed as nodes.
+    Pointer jumping: each pass jumps twice, so the passes grow with the
+    logarithm of the depth. Roots are not listed as nodes.
     """
     step = 0
     while True:
-        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        jumped = scratch.save(
-            parents.join(up, "parent", "left").select(
-                "node", F.coalesce("grand", "parent").alias("parent"),
-                F.col("grand").isNotNull().alias("moved"),
-            ),
-            f"{name}-jump-{step}",
+        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+        once = parents.join(up, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"))
+        twice = once.join(up, "parent", "left").select(
+            "node", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("moved"),
         )
-        parents, step = jumped.select("node", "parent"), step + 1
-        if jumped.where("moved").isEmpty():
+        twice = scratch.save(twice, f"{name}-jump-{step}")
+        parents, step = twice.select("node", "parent"), step + 1
+        if twice.where("moved").isEmpty():
             return parents
 
 
