@@ -163,7 +163,8 @@ def q_csv_postings(spark, sf_dir):
     scratch = Scratch(spark, "csv")
     path = f"{scratch.root}/postings"
     postings(spark, sf_dir).drop("arrival", "qualifications").write.option("header", True).option(
-        "escape", '"').csv(path)
+        "escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
     return _text_length(source.read_postings(spark, path).drop("arrival"))
 
 

@@ -302,7 +302,8 @@ FROM postings JOIN kept USING (arrival)"""
 
 _STAGED = CHUNKS + r""",
 stage AS (
-  SELECT arrival, string_agg(array_to_string(string_split(chunk, ' ')[-5:], ' '), ' ' ORDER BY chunk_no) AS mid
+  SELECT arrival, string_agg(array_to_string(string_split('obtain salary / salary range, if available: ' || chunk, ' ')[-5:], ' '),
+                             ' ' ORDER BY chunk_no) AS mid
   FROM chunked WHERE arrival IN (SELECT arrival FROM worded WHERE len(w) >= 80) GROUP BY 1),
 summed AS (
   SELECT p.arrival, coalesce(array_to_string(string_split(s.mid, ' ')[-5:], ' '), p.description) AS d,
@@ -371,8 +372,9 @@ SQL: dict[str, str] = {
     "batch_dedup_keep_blank": f"WITH {BATCH_KEEP} SELECT arrival, title, url FROM per_url",
     "dedup_report": f"""WITH {BATCH} SELECT (SELECT count(*) FROM postings) AS original, (SELECT count(*) FROM per_url) AS kept,
       (SELECT count(*) FROM postings) - (SELECT count(*) FROM per_url) AS removed""",
-    "cleaned_store": f"""WITH {BATCH} SELECT arrival, nullif(title, '') AS title, nullif(url, '') AS url,
-      nullif(company, 'N/A') AS company, scraped_at FROM per_url""",
+    "cleaned_store": f"""WITH {BATCH.replace("coalesce(company, '')", "CASE WHEN company = 'N/A' THEN '' ELSE company END")}
+      SELECT arrival, nullif(title, '') AS title, nullif(url, '') AS url,
+      nullif(company, '') AS company, scraped_at FROM per_url""",
     "page_links": rf"""WITH anchors AS (
       SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS a
       FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a>') AS l FROM pages)),

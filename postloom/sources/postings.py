@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,9 @@ from postloom.functions.fields import ingest_sig, url_key
 from postloom.functions.text import is_missing
 from postloom.schema import ARRIVAL, MISSING_TEXT, OUTPUT_COLUMNS
 
+#: Local files are listed as file:/x and scanned as file:///x.
+SCHEME = ("^file:/+", "")
+
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """Read postings CSV: header row, quoted multi-line text, every column text.
@@ -29,12 +33,12 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     # One reader task sees a whole file in order: the low 33 bits of the
     # generated id grow along it.
     raw = raw.select(
-        "*", F.col("_metadata.file_path").alias("_file"),
+        "*", F.regexp_replace("_metadata.file_path", *SCHEME).alias("_file"),
         F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row"),
     )
-    files = spark.createDataFrame(
-        [(f, i) for i, f in enumerate(sorted(_listed_files(raw)))], "_file string, _file_no long",
-    )
+    # the driver has listed the files to plan the scan; this reads no data
+    listed = sorted(_plain_path(f) for f in raw.inputFiles())
+    files = spark.createDataFrame(list(zip(listed, range(len(listed)))), "_file string, _file_no long")
     nulls = [
         F.when(~F.col(f"`{c}`").isin(*CSV_NULLS), F.col(f"`{c}`")).alias(c) for c in names
     ]
@@ -44,11 +48,8 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _listed_files(df: DataFrame) -> list[str]:
-    # The driver has listed the files already to plan the scan; this reads
-    # no data. Hadoop's form is "file:/x", the metadata column says "file:///x".
-    return [f.replace("file:/", "file:///", 1) if f.startswith("file:/") and not f.startswith("file://")
-            else f for f in df.inputFiles()]
+def _plain_path(uri: str) -> str:
+    return re.sub(SCHEME[0], "", uri)
 
 
 def conform(df: DataFrame, columns: Sequence[str] = tuple(OUTPUT_COLUMNS)) -> DataFrame:
