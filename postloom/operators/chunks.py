@@ -19,24 +19,30 @@ MIN_WORDS, CHUNK_WORDS = 80, 450
 Infer = Callable[[pd.Series], pd.Series]
 
 
-def _words(c: Column) -> Column:
-    return F.split(collapse(F.coalesce(c, F.lit(""))), " ")
+#: Up to 450 words with the space after each, in a collapsed text. Nothing is
+#: given back on a failed match, so the search is linear.
+_CHUNK = rf"(?:[^ ]++ ?+){{1,{CHUNK_WORDS}}}+"
 
 
-def is_long(c: Column) -> Column:
-    """Whether a description is long enough to summarise."""
-    return F.coalesce(c != MISSING_TEXT, F.lit(False)) & (F.size(_words(c)) >= MIN_WORDS)
+def word_count(collapsed: Column) -> Column:
+    """Words of a text whose blanks are single spaces."""
+    spaces = F.length(collapsed) - F.length(F.replace(collapsed, F.lit(" "), F.lit("")))
+    return F.when(F.length(collapsed) > 0, spaces + 1).otherwise(0)
+
+
+def _with_text(df: DataFrame, column: str = "description") -> DataFrame:
+    """Add ``_text`` (collapsed) and ``_long``: whether to summarise it."""
+    c = F.col(column)
+    return df.withColumn("_text", collapse(F.coalesce(c, F.lit("")))).withColumn(
+        "_long", F.coalesce(c != MISSING_TEXT, F.lit(False)) & (word_count(F.col("_text")) >= MIN_WORDS)
+    )
 
 
 def chunk_descriptions(df: DataFrame, key: str = ARRIVAL, column: str = "description") -> DataFrame:
     """Rows ``(key, chunk_no, chunk)``: 450 words each; short texts whole."""
-    words = _words(F.col(column))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(CHUNK_WORDS))
-    chunks = F.transform(
-        starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(CHUNK_WORDS)), " ")
-    )
-    pieces = F.when(is_long(F.col(column)), chunks).otherwise(F.array(F.col(column)))
-    return df.select(key, F.posexplode(pieces).alias("chunk_no", "chunk"))
+    chunks = F.transform(F.regexp_extract_all("_text", F.lit(_CHUNK), F.lit(0)), lambda c: F.rtrim(c))
+    pieces = F.when(F.col("_long"), chunks).otherwise(F.array(F.col(column)))
+    return _with_text(df, column).select(key, F.posexplode(pieces).alias("chunk_no", "chunk"))
 
 
 def _apply(df: DataFrame, keys: list[str], infer: Infer) -> DataFrame:
@@ -67,8 +73,8 @@ def summarize(df: DataFrame, infer: Infer, key: str = ARRIVAL) -> DataFrame:
     prompt. Any failure keeps the original text. Only long rows pass through
     Python; the groups collected are the chunks of a single description.
     """
-    long_rows = df.where(is_long(F.col("description")))
-    prompts = chunk_descriptions(long_rows, key).select(
+    long_rows = _with_text(df).where("_long")
+    prompts = chunk_descriptions(long_rows.select(key, "description"), key).select(
         key, "chunk_no", F.concat(F.lit(CHUNK_PROMPT), "chunk").alias("prompt")
     )
     parts = _apply(prompts, [key, "chunk_no"], infer)

@@ -177,7 +177,10 @@ def test_linkage_random(spark, seed):
     assert all(k == min(g) for k, g in got.items())
 
 
-def test_cluster_titles_brute_force(spark):
+@pytest.mark.parametrize("small", [0, 4, 256])
+def test_cluster_titles_brute_force(spark, small, monkeypatch):
+    monkeypatch.setattr(clusters, "SMALL", small)  # rounds only, both ways, local only
+    monkeypatch.setattr(clusters, "BATCH", 5)
     words = "data analytics analyst engineer engineering scientist platform cloud risk security systems network".split()
     rng = random.Random(11)
     rows = [" ".join(rng.sample(words, rng.randint(2, 4))) for _ in range(45)]
