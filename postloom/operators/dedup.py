@@ -31,7 +31,12 @@ def drop_seen(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def greedy_dedup(df: DataFrame) -> DataFrame:
-    """Accept rows by arrival unless an accepted row has the URL or the key.
+    """Rows that no earlier accepted row shares its URL or (title, company) with."""
+    return df.join(greedy_arrivals(df), ARRIVAL, "left_semi")
+
+
+def greedy_arrivals(df: DataFrame) -> DataFrame:
+    """The ``arrival`` of the rows accepted in turn, as a written table.
 
     Rows are edges between a URL and a (title, company) key; the answer is the
     greedy matching in arrival order. An edge that comes first at both its
@@ -51,8 +56,6 @@ def greedy_dedup(df: DataFrame) -> DataFrame:
         .groupBy("u", "s").agg(F.min("a").alias("a")),
         "edges-0",
     )
-    if edges.isEmpty():
-        return df.limit(0)
     n = 0
     while True:
         first_s = edges.groupBy("s").agg(F.min(F.struct("a", "u")).alias("f")).select("s", "f.a", "f.u")
@@ -76,8 +79,7 @@ def greedy_dedup(df: DataFrame) -> DataFrame:
         if rest.isEmpty():
             break
         edges, n = rest, n + 1
-    kept = scratch.load("accepted-*", accepted).select(F.col("a").alias(ARRIVAL))
-    return df.join(kept, ARRIVAL, "left_semi")
+    return scratch.load("accepted-*", accepted).select(F.col("a").alias(ARRIVAL))
 
 
 def dedup_batch(df: DataFrame, blank_url: str = "collapse", ordered: bool = True) -> DataFrame:

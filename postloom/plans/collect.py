@@ -10,7 +10,7 @@ from postloom.functions.fields import extract_salary, ingest_sig, join_quals, st
 from postloom.functions.text import is_missing
 from postloom.operators import gates
 from postloom.operators.chunks import Infer, summarize
-from postloom.operators.dedup import drop_seen, greedy_dedup
+from postloom.operators.dedup import drop_seen, greedy_arrivals
 from postloom.operators.matching import blank_stale, match_details
 from postloom.schema import ARRIVAL, MISSING_TEXT
 from postloom.sources.pages import extract_postings
@@ -73,12 +73,17 @@ def screen(candidates: DataFrame, cfg: Config) -> DataFrame:
 
 
 def accepted(candidates: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
-    """The candidates a run saves: gates, stored keys, first wins, cap."""
+    """The candidates a run saves: gates, stored keys, first wins, cap.
+
+    Keys decide, so only they go through the joins and rounds; the wide rows
+    are picked by their arrival number at the end.
+    """
     screened = screen(candidates, cfg)
-    kept = greedy_dedup(drop_seen(screened.where("passes"), stored))
+    keys = screened.where("passes").select(ARRIVAL, "title", "url", "company")
+    kept = greedy_arrivals(drop_seen(keys, stored))
     if cfg.max_rows is not None:
         kept = gates.cap(kept, cfg.max_rows)
-    return kept.select(*candidates.columns)
+    return screened.join(kept, ARRIVAL, "left_semi").select(*candidates.columns)
 
 
 def _first_holder(stored_keys: DataFrame, kept: DataFrame, key: Column, name: str) -> DataFrame:
