@@ -9,8 +9,9 @@ from postloom.functions.text import present, strip
 from postloom.functions.titles import fix_doubled
 from postloom.schema import ARRIVAL, MISSING_TEXT
 
-#: A window group holds at most 2**18 rows of a session (arrival is unique).
-CHUNK_BITS = 18
+#: A chunk holds at most 2**20 rows of a session (arrival is unique), and so on
+#: upwards: 2**20 chunks make a part, and a session has at most 2**23 parts.
+CHUNK_BITS = 20
 
 
 def _either_contains(a: Column, b: Column) -> Column:
@@ -70,9 +71,10 @@ def blank_stale(df: DataFrame, session: str, layout: str, column: str = "descrip
     remembers a blanked description, so within a run of equal texts every
     second one goes.
 
-    A session may hold a large part of all rows, so no window spans one:
-    chunks of bounded size are summed up first, the summaries carry the state
-    from chunk to chunk, and the rows then need their own chunk only.
+    A session may hold a large part of all rows, so no window spans one.
+    Chunks of bounded size are summed up, bounded numbers of chunks into
+    parts, and the summaries carry the state from one to the next; the rows
+    then need their own chunk only.
     """
     rows = _shown(df, column)
     out = _stale_b(rows, session) if layout == "B" else _stale_a(rows, session)
@@ -85,14 +87,30 @@ def _stale_b(rows: DataFrame, session: str) -> DataFrame:
     last = rows.groupBy(*keys).agg(
         F.max_by("_text", F.when(F.col("_text").isNotNull(), F.col(ARRIVAL))).alias("_last")
     )
-    before = Window.partitionBy(session).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(*keys, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     inside = Window.partitionBy(*keys).orderBy(ARRIVAL).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("_prev", F.last("_text", ignorenulls=True).over(inside))
-        .transform(_join_chunks, carried, keys)
+        .transform(_join_chunks, _carry_text(last, session), keys)
         .withColumn("_stale", F.coalesce(
-            F.col("_text") == F.coalesce("_prev", "_carried"), F.lit(False)))
+            F.col("_text") == F.coalesce("_prev", "_carry"), F.lit(False)))
+    )
+
+
+def _carry_text(last: DataFrame, session: str, top: bool = False) -> DataFrame:
+    """Per chunk, the last text before it; ``_last`` is the last text in it."""
+    last = last.withColumn("_part", F.lit(0) if top else F.shiftright("_chunk", CHUNK_BITS))
+    before = (
+        Window.partitionBy(session, "_part").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    near = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
+    if top:
+        return near.select(session, "_chunk", "_carry")
+    parts = last.groupBy(session, F.col("_part").alias("_chunk")).agg(
+        F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_chunk"))).alias("_last")
+    )
+    far = _carry_text(parts, session, top=True).toDF(session, "_part", "_far")
+    return _join_chunks(near, far, [session, "_part"]).select(
+        session, "_chunk", F.coalesce("_carry", "_far").alias("_carry")
     )
 
 
@@ -107,30 +125,47 @@ def _stale_a(rows: DataFrame, session: str) -> DataFrame:
     )
     in_run = Window.partitionBy(*keys, "_run").orderBy(ARRIVAL)
     rows = rows.withColumn("_pos", F.row_number().over(in_run))
-
-    # One summary per chunk: its ends, and the length of its last run.
+    # One summary per chunk: its ends, the length of its last run, and
+    # whether that run is all of it.
     ends = rows.groupBy(*keys).agg(
         F.min_by(F.struct("_text"), ARRIVAL).alias("_first"),
         F.max_by(F.struct("_text", "_pos", "_run"), ARRIVAL).alias("_end"),
-    )
-    by_chunk = Window.partitionBy(session).orderBy("_chunk")
-    ends = ends.select(
-        *keys,
-        F.coalesce(F.col("_first._text").eqNullSafe(F.lag("_end._text").over(by_chunk))
-                   & F.lag("_chunk").over(by_chunk).isNotNull(), F.lit(False)).alias("_joins"),
-        F.lag("_end._pos").over(by_chunk).alias("_tail"),
-        F.coalesce(F.lag("_end._run").over(by_chunk) == 1, F.lit(False)).alias("_solid"),
-    )
-    # Rows of its first run that lie in earlier chunks: the previous chunk's
-    # last run, plus what that run itself carried if it filled its chunk.
-    ends = ends.withColumn(
-        "_segment", F.sum(F.when(F.col("_joins") & F.col("_solid"), 0).otherwise(1)).over(by_chunk)
-    )
-    so_far = Window.partitionBy(session, "_segment").orderBy("_chunk")
-    carried = ends.select(
-        *keys, F.sum(F.when(F.col("_joins"), F.col("_tail")).otherwise(0)).over(so_far).alias("_carry")
-    )
-    return _join_chunks(rows, carried, keys).withColumn(
+    ).select(
+        *keys, "_first._text", F.col("_end._text").alias("_last"), F.col("_end._pos").alias("_tail"),
+        (F.col("_end._run") == 1).alias("_solid"),
+    ).withColumnRenamed("_text", "_first")
+    return _join_chunks(rows, _carry_run(ends, session), keys).withColumn(
         "_stale",
         (F.col("_pos") + F.when(F.col("_run") == 1, F.col("_carry")).otherwise(0)) % 2 == 0,
     )
+
+
+def _carry_run(ends: DataFrame, session: str, top: bool = False) -> DataFrame:
+    """Per chunk, how many rows of its first run lie in earlier chunks.
+
+    That is the last run of the chunk before, if it goes on here, plus what
+    that run carried itself if it fills its chunk.
+    """
+    ends = ends.withColumn("_part", F.lit(0) if top else F.shiftright("_chunk", CHUNK_BITS))
+    in_part = Window.partitionBy(session, "_part").orderBy("_chunk")
+    joins = (F.row_number().over(in_part) > 1) & F.col("_first").eqNullSafe(F.lag("_last").over(in_part))
+    through = joins & F.lag("_solid").over(in_part)
+    ends = ends.withColumn("_add", F.when(joins, F.lag("_tail").over(in_part)).otherwise(0)).withColumn(
+        "_segment", F.sum(F.when(through, 0).otherwise(1)).over(in_part)
+    )
+    so_far = Window.partitionBy(session, "_part", "_segment").orderBy("_chunk")
+    near = ends.withColumn("_carry", F.sum("_add").over(so_far))
+    if top:
+        return near.select(session, "_chunk", "_carry")
+    # in the first segment the run reaches back to the start of the part
+    reaches = F.col("_segment") == 1
+    parts = near.groupBy(session, F.col("_part").alias("_chunk")).agg(
+        F.min_by(F.struct("_first"), "_chunk").alias("_f"),
+        F.max_by(F.struct(
+            "_last", (F.col("_tail") + F.when(F.col("_solid"), F.col("_carry")).otherwise(0)).alias("_tail"),
+            (F.col("_solid") & reaches).alias("_solid")), "_chunk").alias("_e"),
+    ).select(session, "_chunk", "_f._first", "_e._last", "_e._tail", "_e._solid")
+    far = _carry_run(parts, session, top=True).toDF(session, "_part", "_far")
+    return _join_chunks(near, far, [session, "_part"]).select(
+        session, "_chunk", (F.col("_carry") + F.when(reaches, F.col("_far")).otherwise(0)).alias("_carry")
+    )

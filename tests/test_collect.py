@@ -54,7 +54,7 @@ def stale_model(texts, layout):
 def test_stale_descriptions(spark, layout, monkeypatch):
     fixtures = {"A": ["A", "N/A", "N/A", "A", "B"], "B": ["A", "N/A", "N/A", "N/A", "B"]}
     assert stale_model(["A", "A", None, "A", "B"], layout) == fixtures[layout]
-    monkeypatch.setattr(matching, "CHUNK_BITS", 2)  # sessions span many chunks
+    monkeypatch.setattr(matching, "CHUNK_BITS", 2)  # sessions span many chunks and parts
     rng = random.Random(5)
     sessions = {
         "long": ["A"] * 23, None: ["A"] * 9 + ["B"] * 14 + [None] * 6 + ["B"] * 11,
