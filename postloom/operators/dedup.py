@@ -9,25 +9,29 @@ from postloom.functions.fields import batch_sig, ingest_sig, url_key
 from postloom.functions.titles import sanitize_title
 from postloom.schema import ARRIVAL
 from postloom.scratch import Scratch
-from postloom.sources.postings import seen_signatures, seen_urls
+from postloom.sources.postings import stored_signatures, stored_urls
 
 
 def drop_seen(new: DataFrame, stored: DataFrame) -> DataFrame:
     """New postings whose URL and (title, company) key are not stored yet.
 
-    Rows without a URL get a key of their own, which matches nothing and
-    spreads them over the join's partitions.
+    The store is far larger than a run's postings, so its keys are first cut
+    down to those the new rows have; when those are few, the store is only
+    scanned, not shuffled. Rows without a URL get a key of their own, which
+    matches nothing and spreads them over the join's partitions.
     """
     sig = ingest_sig(F.col("title"), F.col("company"))
     keyed = new.withColumn(
         "_url", F.coalesce(url_key(F.col("url")), F.concat(F.lit("\0"), F.col(ARRIVAL)))
     ).withColumn("_title", sig["title"]).withColumn("_company", sig["company"])
-    urls = seen_urls(stored).withColumnRenamed("url_key", "_url")
-    sigs = seen_signatures(stored).toDF("_title", "_company")
-    return (
-        keyed.join(urls, "_url", "left_anti").join(sigs, ["_title", "_company"], "left_anti")
-        .select(*new.columns)
-    )
+    out = keyed
+    for keys, known in (
+        (["_url"], stored_urls(stored).toDF("_url")),
+        (["_title", "_company"], stored_signatures(stored).toDF("_title", "_company")),
+    ):
+        met = known.join(keyed.select(*keys), keys, "left_semi").distinct()
+        out = out.join(met, keys, "left_anti")
+    return out.select(*new.columns)
 
 
 def greedy_dedup(df: DataFrame) -> DataFrame:

@@ -83,18 +83,25 @@ def missing_report(df: DataFrame, columns: Sequence[str] = tuple(OUTPUT_COLUMNS)
     )
 
 
-def seen_urls(stored: DataFrame) -> DataFrame:
-    """Distinct URLs of the stored postings."""
-    return (
-        stored.select(url_key(F.col("url")).alias("url_key"))
-        .where("url_key IS NOT NULL").distinct()
-    )
+def stored_urls(stored: DataFrame) -> DataFrame:
+    """The URL of every stored posting that has one."""
+    return stored.select(url_key(F.col("url")).alias("url_key")).where("url_key IS NOT NULL")
 
 
-def seen_signatures(stored: DataFrame) -> DataFrame:
-    """Distinct (title, company) keys of the stored postings; both must be present."""
+def stored_signatures(stored: DataFrame) -> DataFrame:
+    """The (title, company) key of every stored posting that has both."""
     sig = ingest_sig(F.col("title"), F.col("company"))
     return (
         stored.where(~is_missing(F.col("title")) & ~is_missing(F.col("company")))
-        .select(sig.alias("sig")).select("sig.title", "sig.company").distinct()
+        .select(sig.alias("sig")).select("sig.title", "sig.company")
     )
+
+
+def seen_urls(stored: DataFrame) -> DataFrame:
+    """Distinct URLs of the stored postings."""
+    return stored_urls(stored).distinct()
+
+
+def seen_signatures(stored: DataFrame) -> DataFrame:
+    """Distinct (title, company) keys of the stored postings."""
+    return stored_signatures(stored).distinct()
