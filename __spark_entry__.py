@@ -355,7 +355,8 @@ def q_summary_regroup(spark, sf_dir):
 
 
 def _distinct(spark, sf_dir):
-    return features.distinct_titles(titles.titled(postings(spark, sf_dir)))
+    rows = features.distinct_titles(titles.titled(postings(spark, sf_dir)))
+    return Scratch(spark, "titles").save(rows, "titles")
 
 
 def _rounded(df):
@@ -375,8 +376,7 @@ def q_tfidf_union(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir, scratch):
-    rows = scratch.save(_distinct(spark, sf_dir), "titles")
-    vectors, _ = similarity.title_vectors(rows, scratch)
+    vectors, _ = similarity.title_vectors(_distinct(spark, sf_dir), scratch)
     return similarity.similar_pairs(vectors, 0.55, scratch)
 
 

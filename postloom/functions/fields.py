@@ -13,7 +13,7 @@ from postloom.schema import MISSING_TEXT
 def pay_statement(c: Column) -> Column:
     """The first pay statement in a text, else ``N/A``."""
     found = strip(F.regexp_extract(collapse(c), unicode_pattern(PAY_PATTERN, ignore_case=True), 0))
-    return F.when(F.length(found) > 0, found).otherwise(MISSING_TEXT)
+    return F.coalesce(F.nullif(found, F.lit("")), F.lit(MISSING_TEXT))
 
 
 def extract_salary(box: Column, body: Column) -> Column:

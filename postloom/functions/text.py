@@ -7,6 +7,7 @@ U+0020, so blank space and word characters are spelled out here, once.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +40,14 @@ def unicode_pattern(pattern: str, ignore_case: bool = False) -> str:
     return ("(?diu)" if ignore_case else "(?d)") + pattern
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used.
+
+    Filters and generators evaluate an expression at each of its uses.
+    """
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def strip(c: Column) -> Column:
     """Drop leading and trailing blank space."""
     return F.btrim(c, F.lit(SPACES))
@@ -71,7 +80,9 @@ def first_non_blank(*candidates: Column) -> Column:
 
 def contains_any(c: Column, words: tuple[str, ...]) -> Column:
     """Whether any of ``words`` occurs in ``c`` as a substring."""
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | c.contains(word)
-    return hit
+    def search(text: Column) -> Column:
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | text.contains(word)
+        return hit
+    return bind(c, search)

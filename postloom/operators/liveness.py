@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.config import Config
-from postloom.functions.text import contains_any
+from postloom.functions.text import bind, contains_any
 from postloom.functions.titles import fix_doubled
 from postloom.schema import ARRIVAL
 
@@ -23,7 +23,11 @@ def classify_liveness(postings: DataFrame, snaps: DataFrame, cfg: Config) -> Dat
     url, title = F.col("url"), fix_doubled(F.col("title"))
     checkable = F.coalesce(url.startswith("http"), F.lit(False)) & (F.length(title) > 0)
     mark, path = cfg.redirect_marks
-    body = F.lower("body_text")
+    body_says = bind(F.lower("body_text"), lambda body: (
+        F.when(contains_any(body, cfg.dead_phrases), "unavailable")
+        .when(body.contains(F.col("_title")), "live")
+        .otherwise("title_mismatch")
+    ))
 
     narrow = postings.where(checkable).select(ARRIVAL, "url", F.lower(title).alias("_title"))
     pages = snaps.where(F.coalesce(F.col("ok"), F.lit(False))).select("url", "final_url", "body_text")
@@ -33,9 +37,7 @@ def classify_liveness(postings: DataFrame, snaps: DataFrame, cfg: Config) -> Dat
             url.contains(mark) & url.contains(path)
             & F.lower(F.coalesce("final_url", F.lit(""))).contains(cfg.redirect_target), "redirected",
         )
-        .when(contains_any(body, cfg.dead_phrases), "unavailable")
-        .when(body.contains(F.col("_title")), "live")
-        .otherwise("title_mismatch").alias("_verdict"),
+        .otherwise(body_says).alias("_verdict"),
     )
     # should a URL have several snapshots, one that shows it live decides
     verdicts = verdicts.groupBy(ARRIVAL).agg(F.min("_verdict").alias("_verdict"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postloom.config import Element, Layout
 from postloom.functions.fields import canonical_url
-from postloom.functions.text import SPACE_CLASS, first_non_blank, strip
+from postloom.functions.text import bind, first_non_blank, strip
 from postloom.functions.titles import fix_doubled
 
 
@@ -42,7 +42,7 @@ def element_text(html: Column, el: Element, joiner: str = "") -> Column:
     inner = F.regexp_extract(html, rf"(?is){_tag(el)}(.*?)</{el.tag}\s*>", 1)
     parts = F.transform(F.split(inner, r"(?s)<[^>]*>"), lambda p: strip(p))
     text = F.array_join(F.filter(parts, lambda p: F.length(p) > 0), joiner)
-    return F.when(text.contains("&"), strip(decode_entities(text))).otherwise(text)
+    return bind(text, lambda t: F.when(t.contains("&"), strip(decode_entities(t))).otherwise(t))
 
 
 def element_attr(html: Column, el: Element, attr: str) -> Column:
@@ -52,7 +52,7 @@ def element_attr(html: Column, el: Element, attr: str) -> Column:
         F.nullif(F.regexp_extract(tag, rf"(?is)\s{attr}\s*=\s*{q}([^{q}]*){q}", 1), F.lit(""))
         for q in "\"'"
     ], F.lit(""))
-    return F.when(value.contains("&"), decode_entities(value)).otherwise(value)
+    return bind(value, lambda v: F.when(v.contains("&"), decode_entities(v)).otherwise(v))
 
 
 def first_present(html: Column, elements: tuple[Element, ...], read) -> Column:
@@ -65,11 +65,12 @@ def first_present(html: Column, elements: tuple[Element, ...], read) -> Column:
 def split_cards(html: Column, layout: Layout) -> Column:
     """The page's cards as an array: the first card pattern that occurs."""
     def pieces(el: Element) -> Column:
-        parts = F.split(html, rf"(?is)(?={_tag(el)})")
-        found = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(1)))
-        # a page that starts with a card has no text before it
-        whole = parts[0].rlike(rf"(?is)^{_tag(el)}")
-        return F.when(whole, parts).when(F.size(parts) > 1, found)
+        def pick(parts: Column) -> Column:
+            # text before the first card is no card; a page may start with one
+            starts = parts[0].rlike(rf"(?is)^{_tag(el)}")
+            found = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(1)))
+            return F.when(starts, parts).when(F.size(parts) > 1, found)
+        return bind(F.split(html, rf"(?is)(?={_tag(el)})"), pick)
     return F.coalesce(*[pieces(el) for el in layout.cards])
 
 
