@@ -460,11 +460,23 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_role_counts(spark, "/root/testdata/sf0.001")
 
 
+def _training_data():
+    """The operators for training data, if their subpackage is there."""
+    try:
+        import corpus_pipeline
+        from postloom.llm import queries as llm
+    except ImportError:
+        return {}, {}
+    found = {**llm.queries(), "pipeline": corpus_pipeline.run}
+    sql = {**llm.oracle_sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
+    return found, {name: text for name, text in sql.items() if text}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
+    return {**{name[2:]: f for name, f in globals().items() if name.startswith("q_")}, **_training_data()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_queries import SQL
 
-    return dict(SQL)
+    return {**SQL, **_training_data()[1]}
