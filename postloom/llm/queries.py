@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, hilbert, token_files
+from postloom.llm import bpe, decision_list, hilbert, token_files, warc
 from postloom.llm.common import table
 from postloom.scratch import Scratch
 
@@ -16,6 +16,33 @@ TOKENIZER = "byte_bpe_50k.json"
 N_SHARDS, CURVE_BITS = 16, 6
 
 
+def judged(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with statistics and the verdict of a list learned from the labelled ones."""
+    stats = scratch.save(decision_list.text_stats(docs), "stats")
+    rules = decision_list.learn(scratch.save(decision_list.labelled_rows(stats, labels), "labelled"))
+    return decision_list.judge(stats, rules)
+
+
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged by the base rule and the learned list."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scratch = Scratch(spark, "quality")
+    stats = decision_list.text_stats(docs).drop("text")
+    stats = scratch.save(stats, "stats")
+    rules = decision_list.learn(scratch.save(
+        decision_list.labelled_rows(stats, table(spark, sf_dir, "labels")), "labelled"))
+    return decision_list.judge(stats, rules).select("doc_id", *decision_list.COUNTS, "base_failed", "kept", "rule")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back, segments put together and revisits resolved."""
+    folder = f"{Scratch(spark, 'warc').root}/archive"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.captures(spark, folder).select(
+        F.col("page").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"),
+        F.col("kind").alias("record_type"), F.col("refers_page").alias("refers_to"), "url", "problem")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document from compressed files with a shared dictionary."""
     folder = f"{Scratch(spark, 'token-files').root}/ids"
