@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, decision_list, hilbert, token_files, warc
+from postloom.llm import bpe, decision_list, hilbert, minhash_bayes, token_files, warc, winnowing
 from postloom.llm.common import table
 from postloom.scratch import Scratch
 
@@ -34,6 +34,14 @@ def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(stats, rules).select("doc_id", *decision_list.COUNTS, "base_failed", "kept", "rule")
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all benchmark items."""
+    found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC files and read back, segments put together and revisits resolved."""
     folder = f"{Scratch(spark, 'warc').root}/archive"
@@ -43,6 +51,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("kind").alias("record_type"), F.col("refers_page").alias("refers_to"), "url", "problem")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return minhash_bayes.near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document from compressed files with a shared dictionary."""
     folder = f"{Scratch(spark, 'token-files').root}/ids"
