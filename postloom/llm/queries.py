@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, decision_list, hilbert, minhash_bayes, token_files, warc, winnowing
+from postloom.llm import bpe, bucket_refine, decision_list, hilbert, minhash_bayes, token_files, warc, winnowing
 from postloom.llm.common import table
 from postloom.scratch import Scratch
 
@@ -57,6 +57,13 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def op7_bucket_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings that repeat."""
+    return bucket_refine.remove_repeats(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document from compressed files with a shared dictionary."""
     folder = f"{Scratch(spark, 'token-files').root}/ids"
