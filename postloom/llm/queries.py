@@ -8,14 +8,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, bucket_refine, decision_list, hilbert, minhash_bayes, token_files, warc, winnowing
+from postloom.llm import (
+    block_labeller, bpe, bucket_refine, decision_list, hilbert, minhash_bayes, token_files, url_model, warc, winnowing,
+)
 from postloom.llm.common import table
 from postloom.scratch import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
+RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+         ("block", "net/fr/"))
 N_SHARDS, CURVE_BITS = 16, 6
 
 
+def op1_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url by the rules, else by the models learned from the urls that the rules judge."""
+    url = F.col("url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", url_model.host(url).alias("host"), url_model.path(url).alias("path"))
+    ruled = pages.withColumn("by", url_model.rule_of(F.col("host"), F.col("path"), RULES))
+    model = url_model.learn(ruled.where("by IS NOT NULL").select("url", (F.col("by.verdict") == "allow").alias("accepted")))
+    return url_model.score(ruled, model).select(
+        "page_id", "host", "path", F.col("by.rule").alias("rule"),
+        F.coalesce("by.verdict", F.when(F.col("score") >= model.threshold, "allow").otherwise("block")).alias("verdict"), "score")
+
+
+def op3_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    found = block_labeller.extract(pages, block_labeller.learn(pages), keep=("url",))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def judged(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with statistics and the verdict of a list learned from the labelled ones."""
     stats = scratch.save(decision_list.text_stats(docs), "stats")
