@@ -100,9 +100,9 @@ def segments(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         yield first[place[lo]], whole, lo + at, hi + at
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, *others: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("k"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("k"), text.alias("text"), *others)
 
 
 def _segments(rows: DataFrame) -> DataFrame:
@@ -248,38 +248,43 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id", text_col: str = "text",
-                   bucket: int = BUCKET) -> DataFrame:
-    """``(id, k, n_bytes, n_removed, spans, kept)`` of every row; ``kept`` are the bytes that are left, in order."""
+                   bucket: int = BUCKET, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """``(id, n_bytes, n_removed, spans, kept)`` and the columns ``keep`` of every row.
+
+    ``kept`` are the bytes that are left, in order; with ``as_text`` they are a string, without
+    the characters that lost some of their bytes.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
     spans = repeated_spans(docs, scratch, id_col, text_col, bucket)
-    rows, keys = _rows(docs, id_col, text_col), spans.select("k")
+    others = [F.col(c).alias(f"__{c}") for c in keep]
+    rows, keys = _rows(docs, id_col, text_col, *others), spans.select("k")
     span_type = "array<struct<start:int,end:int>>"
+    arrow_spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, merged = [], []
-            for text, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            kept, merged, sizes = [], [], []
+            for text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw, own, at, left = text.encode(), _merged(parts), 0, []
                 for s, e in own:
                     left.append(raw[at:s])
                     at = e
-                kept.append(b"".join([*left, raw[at:]]))
+                rest = b"".join([*left, raw[at:]])
+                kept.append(rest.decode(errors="ignore") if as_text else rest)
                 merged.append([{"start": s, "end": e} for s, e in own])
+                sizes.append((len(raw), len(raw) - len(rest)))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([len(t.as_py().encode()) for t in batch.column(2)], pa.int64()),
-                pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                pa.array(kept, pa.binary())], ["id", "k", "n_bytes", "spans", "kept"])
-
-    id_type = dict(rows.dtypes)["id"]
-    changed = _only(rows, keys, "left_semi").join(spans, "k").select("id", "k", "text", "spans").mapInArrow(
-        run, f"id {id_type}, k long, n_bytes long, spans {span_type}, kept binary")
+                *batch.columns[2:], pa.array([n[0] for n in sizes], pa.int64()), pa.array([n[1] for n in sizes], pa.int64()),
+                pa.array(merged, arrow_spans), pa.array(kept, pa.string() if as_text else pa.binary())],
+                [*batch.schema.names[2:], "n_bytes", "n_removed", "spans", "kept"])
+
+    own = ["id", *(f"__{c}" for c in keep)]
+    kinds = dict(rows.dtypes)
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in own)
+    changed = _only(rows, keys, "left_semi").join(spans, "k").select("text", "spans", *own).mapInArrow(
+        run, f"{fields}, n_bytes long, n_removed long, spans {span_type}, kept {'string' if as_text else 'binary'}")
     same = _only(rows, keys, "left_anti").select(
-        "id", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast(span_type).alias("spans"),
-        F.encode("text", "UTF-8").alias("kept"))
+        *own, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        F.array().cast(span_type).alias("spans"), (F.col("text") if as_text else F.encode("text", "UTF-8")).alias("kept"))
     return changed.unionByName(same).select(
-        "id", "k", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "spans", "kept")
-
-
-def as_text(kept: Column) -> Column:
-    """Kept bytes as text; a character that lost some of its bytes goes as a whole."""
-    return F.regexp_replace(F.make_valid_utf8(kept.cast("string")), "�", "")
+        "id", *[F.col(f"__{c}").alias(c) for c in keep], "n_bytes", "n_removed", "spans", "kept")

@@ -227,3 +227,12 @@ def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
     keep = [c for c in stats.columns if c not in ("base_failed", "rule", "kept")]
     return stats.select(*keep, base_failed().alias("base_failed"), rules.rule().alias("rule")).withColumn(
         "kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents that the base rule and a list learned from the labelled ones keep, as they are."""
+    taken = {*COUNTS, *FEATURES, "base_failed", "rule", "kept"}
+    names = {c: f"__in_{c}" if c in taken else c for c in docs.columns}
+    stats = scratch.save(text_stats(docs.select(*[F.col(c).alias(n) for c, n in names.items()])), "stats")
+    rules = learn(scratch.save(labelled_rows(stats, labels), "labelled"))
+    return judge(stats, rules).where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.llm.common import mix, shuffles, slices, text_bytes
@@ -292,3 +292,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str
         .select("id", "n_shingles", component.alias("component"),
                 F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
     )
+
+
+def one_per_group(docs: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """The documents that stay, as they are: the smallest id of each group, and one row of each id."""
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
+    found = scratch.save(near_duplicates(docs, scratch, id_col, text_col), "groups")
+    gone = scratch.save(found.where("NOT kept").select("id").distinct(), "gone")
+    stay = docs.join(
+        F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs[id_col] == gone["id"], "left_anti")
+    twice = scratch.save(found.where("kept AND id IS NOT NULL").groupBy("id").count().where("count > 1").select("id"), "twice")
+    if twice.isEmpty():
+        return stay
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    again = stay.join(twice, stay[id_col] == twice["id"], "left_semi").withColumn("__rank", rank).where("__rank = 1")
+    return stay.join(twice, stay[id_col] == twice["id"], "left_anti").unionByName(again.drop("__rank"))

@@ -38,13 +38,6 @@ def op3_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def judged(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with statistics and the verdict of a list learned from the labelled ones."""
-    stats = scratch.save(decision_list.text_stats(docs), "stats")
-    rules = decision_list.learn(scratch.save(decision_list.labelled_rows(stats, labels), "labelled"))
-    return decision_list.judge(stats, rules)
-
-
 def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by the base rule and the learned list."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
