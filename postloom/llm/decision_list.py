@@ -9,7 +9,7 @@ Learning is sequential covering. A rule grows by the threshold condition of
 the highest information gain on the growing part of the labelled rows, until it
 covers no accepted row or gains nothing; it loses its last conditions again if
 that serves the pruning part better; it is taken if it is precise there, and
-the rows it covers leave. Each step is one aggregate: rows per feature and step
+the rows it covers leave; if not, its first feature is not used any more. Each step is one aggregate: rows per feature and step
 between candidate thresholds, a table of fixed size, of which the driver makes
 running sums. All labelled rows count, whatever their number.
 
@@ -131,11 +131,12 @@ def _all(conditions: tuple[Condition, ...] | list[Condition]) -> Column:
     return test
 
 
-def _thresholds(rows: DataFrame, features: tuple[str, ...]) -> dict[str, list[float]]:
+def _thresholds(rows: DataFrame, features: tuple[str, ...]) -> dict[str, list[tuple[float, float]]]:
+    """Candidate thresholds of each feature, with the width of the gap they lie in as a share of its range."""
     per_class = rows.groupBy("reject").agg(*[
         F.percentile_approx(f, F.array(*map(F.lit, QUANTILES)), 2000).alias(f) for f in features]).collect()
     values = {f: sorted({x for r in per_class for x in r[f] or [] if x is not None}) for f in features}
-    return {f: [(a + b) / 2 for a, b in itertools.pairwise(v)] for f, v in values.items()}
+    return {f: [((a + b) / 2, (b - a) / (v[-1] - v[0])) for a, b in itertools.pairwise(v)] for f, v in values.items()}
 
 
 def _gain(p: int, n: int, before: float) -> float:
@@ -147,12 +148,12 @@ def _step(feature: str, thresholds: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda x: x < F.col(feature)))
 
 
-def _grow(rows: DataFrame, steps: dict[str, list[float]], most: int) -> list[Condition]:
-    """The conditions of one rule, in the order they were found."""
+def _grow(rows: DataFrame, steps: dict[str, list[tuple[float, float]]], most: int) -> list[Condition]:
+    """The conditions of one rule, in the order they were found; of equal gains the widest gap wins."""
     conditions: list[Condition] = []
     bins = F.explode(F.array(*[F.struct(
         F.lit(f).alias("feature"),
-        _step(f, t).alias("step")) for f, t in steps.items() if t]))
+        _step(f, [x for x, _ in t]).alias("step")) for f, t in steps.items() if t]))
     while len(conditions) < most:
         here = rows.where(_all(conditions))
         table: dict[str, dict[int, tuple[int, int]]] = {}
@@ -165,13 +166,13 @@ def _grow(rows: DataFrame, steps: dict[str, list[float]], most: int) -> list[Con
         before, found = math.log2(total[0] / sum(total)), None
         for f in sorted(table):
             low = [0, 0]
-            for k, threshold in enumerate(steps[f]):
+            for k, (threshold, gap) in enumerate(steps[f]):
                 got = table[f].get(k, (0, 0))
                 low = [low[0] + got[0], low[1] + got[1]]
                 for above, (p, n) in ((False, low), (True, (total[0] - low[0], total[1] - low[1]))):
                     gain = _gain(p, n, before)
-                    if gain > 1e-9 and (found is None or gain > found[0] + 1e-9):
-                        found = (gain, Condition(f, above, float(threshold)))
+                    if gain > 1e-9 and (found is None or (round(gain, 6), gap) > found[0]):
+                        found = ((round(gain, 6), gap), Condition(f, above, float(threshold)))
         if found is None:
             break
         conditions.append(found[1])
@@ -187,9 +188,9 @@ def learn(labelled: DataFrame, features: tuple[str, ...] = FEATURES, max_rules:
     """
     rows = labelled.where(F.col("reject").isNotNull() & _no_null(features))
     steps, learned = _thresholds(rows, features), DecisionList()
-    if not any(steps.values()):
-        return learned
     for _ in range(max_rules):
+        if not any(steps.values()):
+            break
         left = rows.where(learned.rule().isNull())
         conditions = _grow(left.where("part < 2"), steps, max_conditions)
         if not conditions:
@@ -202,8 +203,9 @@ def learn(labelled: DataFrame, features: tuple[str, ...] = FEATURES, max_rules:
         k = max(range(len(heads)), key=lambda i: (round(value(i), 9), -i))
         p, n = counts[f"c{k}1"], counts[f"c{k}0"]
         if p < min_rows or p / (p + n) < min_precision:
-            break
-        learned.rules.append(heads[k])
+            steps = {f: t for f, t in steps.items() if f != conditions[0].feature}  # it leads to no good rule
+        else:
+            learned.rules.append(heads[k])
     return learned
 
 
