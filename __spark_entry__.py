@@ -334,7 +334,7 @@ def q_verified_store(spark, sf_dir):
     store = PostingStore(spark, f"{Scratch(spark, 'store').root}/postings")
     rows = _page_fields(spark, sf_dir).select(
         F.col("page_id").alias("arrival"), F.col("h1").alias("title"), "url")
-    store.append(rows.where(F.length("title") > 0))
+    store.append(rows)
     snaps = _page_fields(spark, sf_dir).select(
         "url", F.col("url").alias("final_url"), F.lower("h1").alias("body_text"), F.lit(True).alias("ok"))
     clean.verify_store(store, snaps, CFG)

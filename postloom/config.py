@@ -166,7 +166,7 @@ LAYOUT_B = Layout(
 
 @dataclass(frozen=True)
 class Config:
-    """Parameters of one collection run."""
+    """Parameters of one collection run; a run has no limit of rows or result pages unless one is given."""
 
     bad: tuple[str, ...] = BAD_KEYWORDS
     strong: tuple[str, ...] = STRONG_KEYWORDS
@@ -174,8 +174,8 @@ class Config:
     tech: tuple[str, ...] = TECH_KEYWORDS
     require_company: bool = True
     require_salary: bool = False
-    max_rows: int | None = 500
-    max_pages: int = 18
+    max_rows: int | None = None
+    max_pages: int | None = None
     dead_phrases: tuple[str, ...] = DEAD_PHRASES
     redirect_marks: tuple[str, str] = (SITE_A_MARK, "/job/")
     redirect_target: str = "/search"

@@ -53,8 +53,8 @@ def accept(tier: Column, description: Column, cfg: Config) -> Column:
 
 
 def page_limit(df: DataFrame, cfg: Config) -> DataFrame:
-    """Result pages within the limit per keyword."""
-    return df.where(F.col("page_num") <= cfg.max_pages)
+    """Result pages within the limit per keyword, if there is one."""
+    return df if cfg.max_pages is None else df.where(F.col("page_num") <= cfg.max_pages)
 
 
 def cap(df: DataFrame, n: int, *order: str) -> DataFrame:

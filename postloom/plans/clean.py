@@ -15,7 +15,7 @@ from postloom.sources.store import PostingStore
 def clean_store(store: PostingStore, blank_url: str = "collapse") -> dict[str, int]:
     """Sanitise and de-duplicate the stored postings; returns the row counts."""
     before = store.read()
-    version = store.replace(dedup_batch(before, blank_url))
+    version = store.replace(dedup_batch(before, blank_url, ordered=False))
     counts = {"original": before.count(), "kept": store.spark.read.parquet(version).count()}
     return {**counts, "removed": counts["original"] - counts["kept"]}
 

@@ -13,23 +13,33 @@ from postloom.operators.chunks import Infer, summarize
 from postloom.operators.dedup import drop_seen, greedy_arrivals
 from postloom.operators.matching import blank_stale, match_details
 from postloom.schema import ARRIVAL, MISSING_TEXT
+from postloom.scratch import Scratch
 from postloom.sources.pages import extract_postings
 from postloom.sources.postings import seen_signatures, seen_urls
-from postloom.sources.store import PostingStore
+from postloom.sources.store import DEFAULT_WRITER, PostingStore
 
-#: Cards of one result page, at most (a power of two).
-PAGE_BITS = 20
+#: Cards of one result page and result pages, at most (powers of two).
+PAGE_BITS, NUMBER_BITS = 20, 42
+
+
+def card_number() -> Column:
+    """``page_id * 2**20 + pos``, or an error where that would not be unique."""
+    fits = F.col("page_id").between(0, (1 << NUMBER_BITS) - 1) & (F.col("pos") < 1 << PAGE_BITS)
+    wrong = F.concat(F.lit("no card number for page "), F.col("page_id"), F.lit(", card "), F.col("pos"))
+    return F.when(fits, F.shiftleft("page_id", PAGE_BITS) + F.col("pos")).otherwise(F.raise_error(wrong).cast("long"))
+
+
+def arrival(layout: Layout) -> Column:
+    """Order of arrival: the cards of layout A come before all others."""
+    return F.col("card_id") + F.lit(0 if layout.name == "A" else 1 << (PAGE_BITS + NUMBER_BITS)).cast("long")
 
 
 def capture(pages: DataFrame, details: DataFrame, layout: Layout) -> DataFrame:
     """Candidates from captured result pages and details of one layout.
 
-    ``details`` is keyed by ``card_id``, which is ``page_id * 2**20 + pos``;
-    the same number is the arrival order.
+    ``details`` is keyed by ``card_id``, which is ``page_id * 2**20 + pos``.
     """
-    cards = extract_postings(pages, layout).withColumn(
-        "card_id", F.shiftleft("page_id", PAGE_BITS) + F.col("pos")
-    )
+    cards = extract_postings(pages, layout).withColumn("card_id", card_number())
     extra = [c for c in ("keyword", "page_num") if c in pages.columns]
     cards = cards.join(pages.select("page_id", *extra), "page_id") if extra else cards
     both = match_details(cards, details, layout.name)
@@ -41,7 +51,7 @@ def capture(pages: DataFrame, details: DataFrame, layout: Layout) -> DataFrame:
     # layout A forgets the last description with every result page
     session = F.col("page_id") if layout.name == "A" else F.lit(0).cast("long")
     return both.select(
-        F.col("card_id").alias(ARRIVAL), F.lit(layout.name).alias("layout"), session.alias("session"),
+        arrival(layout).alias(ARRIVAL), F.lit(layout.name).alias("layout"), session.alias("session"),
         *extra, "title", "url", "company", "description",
         salary.alias("salary"), quals.alias("qualifications"), stamp().alias("scraped_at"),
     )
@@ -59,7 +69,8 @@ def screen(candidates: DataFrame, cfg: Config) -> DataFrame:
     )
     if "session" in df.columns:
         shown = F.col("missing").isNull() & F.col("tier").isin(gates.KEEP, gates.CHECK)
-        parts = [df.where(~shown)]
+        known = F.coalesce(F.col("layout").isin(*cfg.layouts), F.lit(False))
+        parts = [df.where(~(shown & known))]
         for layout in cfg.layouts:
             here = df.where(shown & (F.col("layout") == layout))
             parts.append(blank_stale(here, "session", layout))
@@ -72,18 +83,30 @@ def screen(candidates: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
+def _verdicts(candidates: DataFrame, cfg: Config, scratch: Scratch) -> DataFrame:
+    """What the gates say of each candidate, and its keys, without the wide text: written once, read by all later steps."""
+    return scratch.save(screen(candidates, cfg).select(
+        ARRIVAL, "layout", "title", "url", "company", "tier", "missing", "passes"), "verdicts")
+
+
+def _kept(verdicts: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
+    """Arrivals that a run saves: stored keys, first wins, cap."""
+    keys = verdicts.where("passes").select(ARRIVAL, "title", "url", "company")
+    kept = greedy_arrivals(drop_seen(keys, stored))
+    return kept if cfg.max_rows is None else gates.cap(kept, cfg.max_rows)
+
+
 def accepted(candidates: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
     """The candidates a run saves: gates, stored keys, first wins, cap.
 
     Keys decide, so only they go through the joins and rounds; the wide rows
     are picked by their arrival number at the end.
     """
-    screened = screen(candidates, cfg)
-    keys = screened.where("passes").select(ARRIVAL, "title", "url", "company")
-    kept = greedy_arrivals(drop_seen(keys, stored))
-    if cfg.max_rows is not None:
-        kept = gates.cap(kept, cfg.max_rows)
-    return screened.join(kept, ARRIVAL, "left_semi").select(*candidates.columns)
+    scratch = Scratch(candidates.sparkSession, "accepted")
+    kept = scratch.save(_kept(_verdicts(candidates, cfg, scratch), stored, cfg).select(ARRIVAL), "kept")
+    # stale descriptions are blanked again on the way out
+    shown = screen(candidates, cfg) if "session" in candidates.columns else candidates
+    return shown.join(kept, ARRIVAL, "left_semi").select(*candidates.columns)
 
 
 def _first_holder(stored_keys: DataFrame, kept: DataFrame, key: Column, name: str) -> DataFrame:
@@ -101,8 +124,10 @@ def decide(candidates: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
     A key counts as taken if it is stored or an earlier row that was kept
     holds it. Rows after the cap was reached were never looked at.
     """
-    screened = screen(candidates, cfg)
-    kept = accepted(candidates, stored, cfg)
+    scratch = Scratch(candidates.sparkSession, "decide")
+    verdicts = _verdicts(candidates, cfg, scratch)
+    kept = verdicts.join(
+        scratch.save(_kept(verdicts, stored, cfg).select(ARRIVAL), "kept"), ARRIVAL, "left_semi")
     own = F.concat(F.lit("\0"), F.col(ARRIVAL))
     by_url = _first_holder(
         seen_urls(stored).withColumnRenamed("url_key", "key"), kept, url_key(F.col("url")), "url_at"
@@ -112,7 +137,7 @@ def decide(candidates: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
         kept, ingest_sig(F.col("title"), F.col("company")), "sig_at",
     )
     df = (
-        screened.withColumn("_u", F.coalesce(url_key(F.col("url")), own))
+        verdicts.withColumn("_u", F.coalesce(url_key(F.col("url")), own))
         .join(by_url.withColumnRenamed("key", "_u"), "_u", "left")
         .withColumn("_s", ingest_sig(F.col("title"), F.col("company")))
         .join(by_sig.withColumnRenamed("key", "_s"), "_s", "left")
@@ -127,7 +152,7 @@ def decide(candidates: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
         late = F.col(ARRIVAL) > full
     no_title = is_missing(F.col("title"))
     bad, skip = F.col("tier") == gates.REJECT, F.col("tier") == gates.SKIP
-    # the layouts test in a different order, which shows in the reason only
+    # layout B tests in another order than A and all others, which shows in the reason only
     reason_a = (
         F.when(taken_url, "duplicate_url").when(no_title, "missing_title")
         .when(bad, "bad_keyword").when(skip, "irrelevant_title")
@@ -140,21 +165,25 @@ def decide(candidates: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
         .when(taken_sig, "duplicate_signature")
         .when(bad, "bad_keyword").when(skip, "irrelevant_title")
     )
+    is_b = F.coalesce(F.col("layout") == "B", F.lit(False))
     reason = (
         F.when(late, "not_reached")
-        .when((F.col("layout") == "A") & reason_a.isNotNull(), reason_a)
-        .when((F.col("layout") == "B") & reason_b.isNotNull(), reason_b)
+        .when(is_b & reason_b.isNotNull(), reason_b)
+        .when(~is_b & reason_a.isNotNull(), reason_a)
         .when(~F.col("passes"), "no_tech_keyword")
         .otherwise("kept")
     )
-    return df.select(*candidates.columns, "tier", reason.alias("reason"))
+    found = df.select(ARRIVAL, "tier", reason.alias("reason"))
+    shown = screen(candidates, cfg).drop("tier") if "session" in candidates.columns else candidates
+    others = [c for c in candidates.columns if c not in ("tier", "reason")]
+    return shown.select(*others).join(found, ARRIVAL).select(*others, "tier", "reason")
 
 
-def ingest(store: PostingStore, candidates: DataFrame, cfg: Config,
-           batch: int | None = None, infer: Infer | None = None) -> int:
+def ingest(store: PostingStore, candidates: DataFrame, cfg: Config, batch: int | None = None,
+           infer: Infer | None = None, writer: str = DEFAULT_WRITER) -> int:
     """Append what a run accepts. Repeating a batch number adds nothing new:
-    only earlier batches count as stored, and the batch replaces itself."""
-    new = accepted(candidates, store.read(before_batch=batch), cfg)
+    all rows but the writer's own from that number on count as stored, and the batch replaces itself."""
+    new = accepted(candidates, store.read(before_batch=batch, writer=writer), cfg)
     if infer is not None:
         new = summarize(new, infer)
-    return store.append(new, batch)
+    return store.append(new, batch, writer)

@@ -1,7 +1,8 @@
 """The stored postings: a Parquet table in versions, appended in batches.
 
-``<root>/v000001/batch=7/part-*.parquet``. An append writes its own batch
-folder, so a repeated batch replaces itself. A replace writes the next version
+``<root>/v000001/writer=w/batch=7/part-*.parquet``. Every writer numbers its own
+batches: an append writes that writer's batch folder, so a repeated batch
+replaces itself and nothing else. A replace writes the next version
 and leaves the old one whole; the newest version whose write finished is
 current. Spark cannot overwrite a table it is reading, so nothing is
 overwritten in place.
@@ -16,7 +17,11 @@ from pyspark.sql import types as T
 from postloom.schema import ARRIVAL, OUTPUT_COLUMNS, STORED
 from postloom.sources.postings import conform, sink_text, unsink_text
 
-_READ_SCHEMA = T.StructType([*STORED.fields, T.StructField("batch", T.LongType())])
+_PLACE = ("writer", "batch")
+_READ_SCHEMA = T.StructType(
+    [*STORED.fields, T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())])
+#: The writer of appends that name none.
+DEFAULT_WRITER = "batch"
 
 
 class PostingStore:
@@ -51,41 +56,44 @@ class PostingStore:
     def current(self) -> str:
         return self._version_path(max(self._versions(), default=0))
 
-    def batches(self) -> list[int]:
+    def batches(self, writer: str = DEFAULT_WRITER) -> list[int]:
         return sorted(
-            int(n.split("=", 1)[1]) for n in self._children(self.current()) if n.startswith("batch=")
+            int(n.split("=", 1)[1]) for n in self._children(f"{self.current()}/writer={writer}") if n.startswith("batch=")
         )
 
+    def writers(self) -> list[str]:
+        return [n.split("=", 1)[1] for n in self._children(self.current()) if n.startswith("writer=")]
+
     # -- tables ------------------------------------------------------------
 
-    def read(self, before_batch: int | None = None) -> DataFrame:
-        """Stored postings; with ``before_batch`` only those of earlier batches.
+    def read(self, before_batch: int | None = None, writer: str = DEFAULT_WRITER) -> DataFrame:
+        """Stored postings; with ``before_batch`` without that and later batches of ``writer``.
 
-        ``batch`` is a partition column, so the condition prunes folders.
+        ``writer`` and ``batch`` are partition columns, so the condition prunes folders.
         """
-        if not self.batches():
+        if not self.writers():
             return self.spark.createDataFrame([], _READ_SCHEMA)
         df = self.spark.read.schema(_READ_SCHEMA).parquet(self.current())
         if before_batch is not None:
-            df = df.where(F.col("batch") < before_batch)
+            df = df.where((F.col("writer") != writer) | (F.col("batch") < before_batch))
         return unsink_text(df)
 
-    def append(self, df: DataFrame, batch: int | None = None) -> int:
-        """Add postings as one batch; the same batch number replaces itself."""
+    def append(self, df: DataFrame, batch: int | None = None, writer: str = DEFAULT_WRITER) -> int:
+        """Add postings as one batch of a writer; the same number replaces itself."""
         if batch is None:
-            batch = max(self.batches(), default=-1) + 1
+            batch = max(self.batches(writer), default=-1) + 1
         sink_text(conform(df, [ARRIVAL, *OUTPUT_COLUMNS])).write.mode("overwrite").parquet(
-            f"{self.current()}/batch={batch}"
+            f"{self.current()}/writer={writer}/batch={batch}"
         )
         return batch
 
     def replace(self, clean: DataFrame) -> str:
         """Make ``clean`` the stored postings, as a new version."""
         version = self._version_path(max(self._versions(), default=0) + 1)
-        df = clean if "batch" in clean.columns else clean.withColumn("batch", F.lit(0).cast("long"))
-        sink_text(conform(df, [ARRIVAL, *OUTPUT_COLUMNS, "batch"])).write.mode("overwrite").partitionBy(
-            "batch"
-        ).parquet(version)
+        first = {"writer": F.lit(DEFAULT_WRITER), "batch": F.lit(0).cast("long")}
+        df = clean.withColumns({c: first[c] for c in _PLACE if c not in clean.columns})
+        sink_text(conform(df, [ARRIVAL, *OUTPUT_COLUMNS, *_PLACE])).write.mode("overwrite").partitionBy(
+            *_PLACE).parquet(version)
         return version
 
     def replace_with_backup(self, flagged: DataFrame) -> dict[str, int]:

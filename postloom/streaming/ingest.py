@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from postloom.config import Config
@@ -11,17 +13,28 @@ from postloom.plans.collect import ingest
 from postloom.sources.store import PostingStore
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query a checkpoint belongs to, which is the same after a restart."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
 def ingest_stream(candidates: DataFrame, store: PostingStore, cfg: Config, checkpoint: str,
                   infer: Infer | None = None, available_now: bool = True) -> StreamingQuery:
     """Append every micro-batch with the same plan as the batch ingest.
 
     De-duplication needs two keys over all stored rows, so the state is the
-    store itself. A micro-batch writes the folder of its own number and looks
-    at earlier ones only: after a failure it is simply written again.
+    store itself. The stream is a writer of its own, named by the id that its
+    checkpoint keeps. A micro-batch writes that writer's folder of its own number and
+    takes all other rows but the stream's later batches for stored: after a failure it is simply
+    written again, and a stream with a new checkpoint adds to what is there.
     ``candidates`` must arrive in order: a later micro-batch holds later rows.
+    A cap on rows is refused, as it would hold per micro-batch.
     """
+    if cfg.max_rows is not None:
+        raise ValueError("a stream has no max_rows: a micro-batch is no run")
+
     def write(batch: DataFrame, number: int) -> None:
-        ingest(store, batch, cfg, number, infer)
+        ingest(store, batch, cfg, number, infer, writer=_query_id(batch.sparkSession, checkpoint))
 
     writer = candidates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:

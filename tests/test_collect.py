@@ -124,6 +124,39 @@ def test_capture(spark):
         "Data Analyst", LAYOUT_A.base_url + "/job/1", "Acme", "$5/hour", "SQL", 3, 1)
 
 
+def test_both_layouts_with_equal_page_ids(spark):
+    """Layout A comes first, no card gets the arrival of another, and a rejected one stays out."""
+    page = "page_id long, html string"
+    a = spark.createDataFrame([(3, "<div class='SerpJob'><a class='jobTitle' href='/job/1'>Data Analyst</a>"
+                                   "<span data-testid='companyName'>Acme</span></div>")], page)
+    b = spark.createDataFrame([(3, "<div class='job-card-container'><a class='job-card-list__title' href='https://h/j'>Nurse</a></div>")], page)
+    detail = "card_id long, title string, company string, description string, compensation string, body string, qualifications array<string>"
+    one = collect.capture(a, spark.createDataFrame([(3 << 20, "Data Analyst", "Acme", "sql", None, None, None)], detail), LAYOUT_A)
+    two = collect.capture(b, spark.createDataFrame([(3 << 20, "Nurse", "Care", "sql", None, None, None)], detail), LAYOUT_B)
+    both = one.unionByName(two).withColumn("scraped_at", F.lit("x"))
+    cfg = Config(bad=("nurse",), strong=("data",), ambiguous=(), tech=("sql",))
+    none = spark.createDataFrame([], "title string, url string, company string")
+    got = {r.title: (r.arrival, r.reason) for r in collect.decide(both, none, cfg).collect()}
+    assert got["Data Analyst"] == (3 << 20, "kept") and got["Nurse"] == ((1 << 62) + (3 << 20), "bad_keyword")
+    assert [r.title for r in collect.accepted(both, none, cfg).collect()] == ["Data Analyst"]
+
+
+def test_rows_of_other_layouts_are_judged_too(spark):
+    rows = [(1, "A", 0), (2, "C", 0), (3, None, 0), (4, "C", 0)]
+    df = spark.createDataFrame([(a, x, s, "strong", f"u{a % 3}", "c", "sql") for a, x, s in rows],
+                               "arrival long, layout string, session int, title string, url string, company string, description string")
+    none = spark.createDataFrame([], "title string, url string, company string")
+    got = {r.arrival: r.reason for r in collect.decide(df, none, CFG).collect()}
+    assert got == {1: "kept", 2: "duplicate_signature", 3: "duplicate_signature", 4: "duplicate_url"}
+
+
+@pytest.mark.parametrize("page", [1 << 42, -1])
+def test_card_numbers_do_not_wrap(spark, page):
+    df = spark.createDataFrame([(page, 0)], "page_id long, pos int")
+    with pytest.raises(Exception, match="no card number"):
+        df.select(collect.card_number()).collect()
+
+
 CFG = Config(bad=("bad",), strong=("strong",), ambiguous=("maybe",), tech=("sql",), max_rows=None)
 
 
@@ -138,9 +171,10 @@ def decide_model(rows, stored_urls, stored_sigs, cfg):
         sig, dup_url = (t.lower().strip(), (c or "").lower().strip()), u in urls and not gone(u)
         bad, skip = "bad" in t.lower(), not any(w in t.lower() for w in ("strong", "maybe"))
         checks = [("missing_title", gone(t)), ("duplicate_url", dup_url)]
+        b = layout == "B"
         words = [("bad_keyword", bad), ("irrelevant_title", skip)]
-        if layout == "A":
-            checks = checks[::-1] + words + [("missing_url", gone(u)), ("missing_company", gone(c)),
+        if not b:
+            checks = checks[::-1] + words + [("missing_url", layout == "A" and gone(u)), ("missing_company", gone(c)),
                                              ("duplicate_signature", sig in sigs)]
         else:
             checks += [("missing_company", gone(c)), ("duplicate_signature", sig in sigs)] + words
@@ -158,7 +192,7 @@ def decide_model(rows, stored_urls, stored_sigs, cfg):
 def test_decisions_match_a_sequential_run(spark, cap):
     cfg = Config(**{**CFG.__dict__, "max_rows": cap})
     rng = random.Random(3)
-    rows = [(i, rng.choice("AB"), rng.choice(["bad", "Strong ", "maybe", "other", "", "n/a"]) + rng.choice("abcd ") * 2,
+    rows = [(i, rng.choice(["A", "B", "C", None]), rng.choice(["bad", "Strong ", "maybe", "other", "", "n/a"]) + rng.choice("abcd ") * 2,
              rng.choice([None, "N/A", *[f"u{k}" for k in range(30)]]), rng.choice(["c", "C ", None, "d", "e"]),
              rng.choice([None, "uses SQL", "none"])) for i in range(250)]
     stored = spark.createDataFrame([("strongaa", "u1", "c"), ("x", "u2", "d"), (None, None, "e")],
@@ -176,7 +210,8 @@ def test_decisions_match_a_sequential_run(spark, cap):
 
 def test_page_limit_cap_and_log(spark):
     df = spark.createDataFrame([(i, i, "B" if i < 3 else "A") for i in range(30)], "arrival long, page_num int, layout string")
-    assert gates.page_limit(df, Config()).count() == 19
+    assert gates.page_limit(df, Config(max_pages=18)).count() == 19
+    assert gates.page_limit(df, Config()).count() == 30 and Config().max_rows is None
     assert [r.arrival for r in gates.cap(df, 4, "layout", "arrival").collect()] == [3, 4, 5, 6]
     wide = spark.createDataFrame([(1, "r", "t" * 99, "c" * 99, "s" * 99, " " + "u" * 99)],
                                  "arrival long, reason string, title string, company string, salary string, url string")

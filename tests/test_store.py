@@ -146,16 +146,46 @@ def test_stream_equals_batch(spark, tmp_path):
         df.where((F.col("arrival") >= k * 20) & (F.col("arrival") < (k + 1) * 20)).coalesce(1).write.mode("append").parquet(str(src))
         stream = spark.readStream.schema(df.schema).parquet(str(src))
         ingest_stream(stream, streamed, cfg, str(tmp_path / "ck")).awaitTermination()
-    assert streamed.batches() == [0, 1, 2]
+    (writer,) = streamed.writers()
+    assert streamed.batches(writer) == [0, 1, 2]
     key = lambda s: sorted((r.arrival, r.title, r.url) for r in s.read().collect())
     assert key(streamed) == key(whole) and 0 < len(key(whole)) < len(rows)
     # repeating any batch changes nothing
     for k in (2, 1):
         part = df.where((F.col("arrival") >= k * 20) & (F.col("arrival") < (k + 1) * 20))
-        collect.ingest(streamed, part, cfg, k)
+        collect.ingest(streamed, part, cfg, k, writer=writer)
     assert key(streamed) == key(whole)
 
 
+def test_writers_keep_each_others_rows(spark, tmp_path):
+    """A batch ingest, a stream, a stream with a new checkpoint, and a replay: nothing stored is lost or doubled."""
+    df = spark.createDataFrame(candidates(80), CAND).select(
+        "*", *[F.lit("x").alias(c) for c in ("salary", "qualifications", "scraped_at")])
+    part = lambda k: df.where((F.col("arrival") >= k * 20) & (F.col("arrival") < (k + 1) * 20))
+    whole, store = PostingStore(spark, str(tmp_path / "whole")), PostingStore(spark, str(tmp_path / "s"))
+    collect.ingest(whole, df, CFG)
+    collect.ingest(store, part(0), CFG)
+    for k, checkpoint in ((1, "ck1"), (2, "ck2"), (3, "ck2")):
+        src = str(tmp_path / f"in-{checkpoint}")
+        part(k).coalesce(1).write.mode("append").parquet(src)
+        ingest_stream(spark.readStream.schema(df.schema).parquet(src), store, CFG, str(tmp_path / checkpoint)).awaitTermination()
+    key = lambda s: sorted((r.arrival, r.title, r.url) for r in s.read().collect())
+    assert key(store) == key(whole)
+    assert len(store.writers()) == 3
+    assert sorted(b for w in store.writers() for b in store.batches(w)) == [0, 0, 0, 1]
+    writer = next(w for w in store.writers() if store.batches(w) == [0, 1])
+    collect.ingest(store, part(3), CFG, 1, writer=writer)
+    assert key(store) == key(whole)
+    clean_counts = store.replace_with_backup(store.read().withColumn("is_valid", F.col("arrival") > 0))
+    assert clean_counts["removed"] == 1 and "batch" in store.writers()
+
+
+def test_stream_refuses_a_cap(spark, tmp_path):
+    stream = spark.readStream.schema("arrival long").parquet(str(tmp_path))
+    with pytest.raises(ValueError):
+        ingest_stream(stream, PostingStore(spark, str(tmp_path / "s")), Config(max_rows=5), str(tmp_path / "ck"))
+
+
 def test_ingest_with_summaries_and_cap(spark, tmp_path):
     store = PostingStore(spark, str(tmp_path / "s"))
     df = spark.createDataFrame(candidates(), CAND).select(
