@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,32 +21,57 @@ SCHEME = ("^file:/+", "")
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """Read postings CSV: header row, quoted multi-line text, every column text.
 
-    The reader takes one null marker only, so the whole list is applied per
-    column. Absent columns become null; extra columns stay. ``arrival`` numbers
-    the rows by file name and position. A multi-line file is not split, so
-    convert large CSV input to Parquet once.
+    Every file is read by the names of its own header, so files may differ in the
+    order and choice of columns. The reader takes one null marker only, so the
+    whole list is applied per column. Absent columns become null; extra columns
+    stay. ``arrival`` numbers the rows by file name and position. A multi-line
+    file is not split, so convert large CSV input to Parquet once.
     """
+    # the driver lists the files to plan the scan anyway
+    listed = sorted(spark.read.text(path).inputFiles(), key=_plain_path)
+    groups: dict[str, list[str]] = {}
+    for header, file in _headers(spark, path, listed):
+        groups.setdefault(header, []).append(file)
+    parts = [_read_files(spark, files) for files in groups.values()]
+    raw = parts[0] if parts else spark.createDataFrame([], "_file string, _row long")
+    for part in parts[1:]:
+        raw = raw.unionByName(part, allowMissingColumns=True)
+    numbers = spark.createDataFrame(
+        [(_plain_path(f), n) for n, f in enumerate(listed)], "_file string, _file_no long")
+    names = [c for c in raw.columns if c not in ("_file", "_row")]
+    nulls = [
+        F.when(~F.col(f"`{c}`").isin(*CSV_NULLS), F.col(f"`{c}`")).alias(c) for c in names
+    ]
+    absent = [F.lit(None).cast("string").alias(c) for c in OUTPUT_COLUMNS if c not in names]
+    return raw.join(numbers, "_file").select(
+        (F.shiftleft("_file_no", 33) + F.col("_row")).alias(ARRIVAL), *nulls, *absent,
+    )
+
+
+def _headers(spark: SparkSession, path: str, listed: list[str]) -> list[tuple[str, str]]:
+    """The first line of each file that has one."""
+    first = (
+        spark.read.text(path).where("_metadata.file_block_start = 0")
+        .select(F.regexp_replace("_metadata.file_path", *SCHEME).alias("file"), "value",
+                F.monotonically_increasing_id().alias("row"))
+        .groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    )
+    by_path = {_plain_path(f): f for f in listed}
+    return sorted((r.header, by_path[r.file]) for r in first.collect() if r.file in by_path)
+
+
+def _read_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Files of one header, with the file and the place of each row in it."""
     raw = (
         spark.read.option("header", True).option("multiLine", True)
-        .option("escape", '"').option("encoding", "UTF-8").csv(path)
+        .option("escape", '"').option("encoding", "UTF-8").csv([unquote(f) for f in files])
     )
-    names = raw.columns
     # One reader task sees a whole file in order: the low 33 bits of the
     # generated id grow along it.
-    raw = raw.select(
+    return raw.select(
         "*", F.regexp_replace("_metadata.file_path", *SCHEME).alias("_file"),
         F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row"),
     )
-    # the driver has listed the files to plan the scan; this reads no data
-    listed = sorted(_plain_path(f) for f in raw.inputFiles())
-    files = spark.createDataFrame(list(zip(listed, range(len(listed)))), "_file string, _file_no long")
-    nulls = [
-        F.when(~F.col(f"`{c}`").isin(*CSV_NULLS), F.col(f"`{c}`")).alias(c) for c in names
-    ]
-    absent = [F.lit(None).cast("string").alias(c) for c in OUTPUT_COLUMNS if c not in names]
-    return raw.join(files, "_file").select(
-        (F.shiftleft("_file_no", 33) + F.col("_row")).alias(ARRIVAL), *nulls, *absent,
-    )
 
 
 def _plain_path(uri: str) -> str:

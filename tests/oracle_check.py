@@ -16,6 +16,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+#: Learned models, tokenizers and the curve: held against brute force in the tests instead.
+ROWS_ONLY = {"pipeline", "op1_url_model", "op2_decision_list", "op3_block_labeller", "op8_token_files", "op9_bpe", "op10_hilbert"}
+
+
 def connect(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
@@ -39,7 +43,7 @@ def compare(spark, con, sf_dir, name):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        return True, f"rows only: {sum(got[1].values())}"
+        return name in ROWS_ONLY, f"no SQL, {sum(got[1].values())} rows"
     rel = con.sql(sql)
     want = rows_of(rel.columns, rel.fetchall())
     if got == want:

@@ -27,6 +27,16 @@ def test_read_postings(spark, tmp_path):
     assert one["title"].isna().tolist() == [False, True] and one["url"].tolist()[0] == " "
 
 
+def test_files_of_two_header_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('title,url\nT1,u1\n"T\n2",u2\n')
+    (tmp_path / "b.csv").write_text("url,title,more\nu3,T3,x\n")
+    (tmp_path / "c.csv").write_text("")
+    rows = postings.read_postings(spark, str(tmp_path)).orderBy("arrival").collect()
+    assert [(r.title, r.url, r.more, r.company) for r in rows] == [
+        ("T1", "u1", None, None), ("T\n2", "u2", None, None), ("T3", "u3", "x", None)]
+    assert [r.arrival >> 33 for r in rows] == [0, 0, 1]
+
+
 def test_conform(spark):
     df = spark.createDataFrame([(None, "t", 1)], "url string, title string, extra int")
     out = postings.conform(df)
