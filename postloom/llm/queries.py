@@ -12,6 +12,7 @@ from postloom.llm import (
     block_labeller, bpe, bucket_refine, decision_list, hilbert, minhash_bayes, token_files, url_model, warc, winnowing,
 )
 from postloom.llm.common import table
+from postloom.llm.oracle import SQL
 from postloom.scratch import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -115,4 +116,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
