@@ -293,9 +293,12 @@ def _page_fields(spark, sf_dir):
 def _cards_and_details(spark, sf_dir):
     p = _page_fields(spark, sf_dir)
     cards = p.select(F.col("page_id").alias("card_id"), F.col("head").alias("title"), F.col("lang").alias("company"))
+    # some details agree, some are blank, some are those of another card
+    other = F.col("page_id") % 5
     details = p.select(
-        F.col("page_id").alias("card_id"), F.col("h1").alias("title"),
-        F.when(F.col("url").contains("https"), F.col("lang")).otherwise("").alias("company"))
+        F.col("page_id").alias("card_id"),
+        F.when(other == 1, F.concat(F.lit("zz "), F.reverse("h1"))).when(other == 2, " ").otherwise(F.col("h1")).alias("title"),
+        F.when(other == 3, "zz").when(F.col("url").contains("https") & (other != 1), F.col("lang")).otherwise("").alias("company"))
     return cards, details
 
 

@@ -198,8 +198,9 @@ def _fix_doubled(x: str) -> str:
 
 CARDS = PAGE_FIELDS + """,
 cards AS (SELECT page_id AS card_id, head AS title, lang AS company FROM page_fields),
-details AS (SELECT page_id AS card_id, h1 AS title,
-  CASE WHEN contains(url, 'https') THEN lang ELSE '' END AS company FROM page_fields)"""
+details AS (SELECT page_id AS card_id,
+  CASE page_id % 5 WHEN 1 THEN 'zz ' || reverse(h1) WHEN 2 THEN ' ' ELSE h1 END AS title,
+  CASE WHEN page_id % 5 = 3 THEN 'zz' WHEN contains(url, 'https') AND page_id % 5 <> 1 THEN lang ELSE '' END AS company FROM page_fields)"""
 
 LIVE = PAGE_FIELDS + f""",
 checked AS (
