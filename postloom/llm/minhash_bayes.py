@@ -13,7 +13,8 @@ bucket's smallest id, and links found there give first groups. A pair inside a
 group cannot change the groups any more, so only members of *different* groups
 still have to meet. Buckets that hold some are cut into blocks of about
 ``BLOCK`` texts, and two blocks meet in one task, which compares signatures in
-arrays and returns the pairs that survive, each from the first band it shares.
+arrays, each pair in the first band it shares, and then the full sets of the members with
+survivors. It returns the links that join groups, fewer than it has members.
 That is exact however large a bucket is, and no task holds more than two blocks.
 
 A pair at the threshold shares no band with probability
@@ -208,15 +209,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> D
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(u) + len(v) - common) and common > 0)
+                keep.append(_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return scratch.save(both.mapInArrow(run, "a long, b long").distinct(), f"{name}-links")
 
 
-def _meet(bucket: int, lo: int, hi: int, members: list[dict]) -> list[tuple[int, int]]:
+def _meet(bucket: int, lo: int, hi: int, members: list[dict]) -> list[dict]:
     """Possible pairs of different groups in one block, or between two, if this is the first band they share."""
     sigs = np.frombuffer(b"".join(m["sig"] for m in members), "<u4").reshape(-1, _N)
     ids = np.array([m["id"] for m in members], np.int64)
@@ -231,12 +230,48 @@ def _meet(bucket: int, lo: int, hi: int, members: list[dict]) -> list[tuple[int,
         if len(y):
             y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
             y = y[possible(np.broadcast_to(sigs[x], (len(y), _N)), sigs[y])]
-            out += [(int(min(ids[x], ids[k])), int(max(ids[x], ids[k]))) for k in y]
+            out += [{"a": int(ids[x]), "b": int(ids[k]), "ga": int(groups[x]), "gb": int(groups[k])} for k in y]
     return out
 
 
-def _across(shared: DataFrame, groups: DataFrame, sigs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Possible pairs of members of a bucket that are in different groups; pairs with the centre were tested before."""
+def _linked(u: np.ndarray, v: np.ndarray) -> bool:
+    """Whether two sorted sets are a link."""
+    common = len(np.intersect1d(u, v, assume_unique=True))
+    return common > 0 and 100 * common >= PERCENT * (len(u) + len(v) - common)
+
+
+def _forest(pairs: list[dict], members: list[dict]) -> list[tuple[int, int]]:
+    """Links among the possible pairs that join what was not joined before; the others change no group."""
+    sets: dict[int, list[np.ndarray]] = {}
+    for m in members:
+        sets.setdefault(m["id"], []).append(np.frombuffer(m["shingles"], np.uint64))
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for p in pairs:
+        x, y = top(p["ga"]), top(p["gb"])
+        if x != y and any(_linked(u, v) for u in sets[p["a"]] for v in sets[p["b"]]):
+            parent[x] = y
+            out.append((min(p["a"], p["b"]), max(p["a"], p["b"])))
+    return out
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _across(shared: DataFrame, groups: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between members of a bucket that are in different groups, enough to join all groups that are linked.
+
+    Pairs with the centre were tested before. Blocks meet twice: with signatures, to
+    find the possible pairs, and with the full sets of the members that have some. A task
+    returns fewer links than it has members, however many pairs it tests.
+    """
     rows = shared.where(F.col("id") != F.col("centre")).join(
         groups.select(F.col("node").alias("id"), "component"), "id", "left").select(
         "bucket", "id", F.coalesce("component", "id").alias("grp"))
@@ -248,19 +283,35 @@ def _across(shared: DataFrame, groups: DataFrame, sigs: DataFrame, scratch: Scra
     dealt = rows.join(own, "id").withColumn("n", n).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("n"))).select(
         "bucket", "id", "grp", "block", "sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-    tasks = dealt.groupBy(
+    blocks = dealt.groupBy(
         "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     ).agg(F.collect_list(F.struct("id", "grp", "block", "sig")).alias("members"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("a", "b", "ga", "gb")]))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                place = [batch.column(c)[row].as_py() for c in range(3)]
+                pairs = _meet(*place, batch.column(3)[row].as_py())
+                if pairs:
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([x], pa.int64()) for x in place), pa.array([pairs], kind)], ["bucket", "lo", "hi", "pairs"])
+
+    met = scratch.save(blocks.repartition(shuffles(sigs.sparkSession)).mapInArrow(
+        meet, "bucket long, lo long, hi long, pairs array<struct<a:long,b:long,ga:long,gb:long>>"), "met")
+    ends = F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["a"], p["b"]))))
+    members = met.select("bucket", "lo", "hi", F.explode(ends).alias("id"))
+    sets = scratch.save(_sets(_only(docs, members.select("id").distinct(), "left_semi")), "met-sets")
+    gathered = members.join(sets, "id").groupBy("bucket", "lo", "hi").agg(
+        F.collect_list(F.struct("id", "shingles")).alias("members"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                b, lo, hi, members = (batch.column(c)[row].as_py() for c in range(4))
-                pairs = _meet(b, lo, hi, members)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+                yield _pairs_batch(_forest(batch.column(0)[row].as_py(), batch.column(1)[row].as_py()))
 
-    return tasks.repartition(shuffles(sigs.sparkSession)).mapInArrow(run, "a long, b long").distinct()
+    return scratch.save(met.join(gathered, ["bucket", "lo", "hi"]).select("pairs", "members").mapInArrow(
+        verify, "a long, b long").distinct(), "more-links")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id",
@@ -282,8 +333,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str
     survivors = scratch.save(_prune(stars, named, scratch, "stars"), "star-survivors")
     links = _verify(survivors, texts, scratch, "stars")
     groups = components(links, Scratch(docs.sparkSession, "groups"))
-    rest = scratch.save(_across(shared, groups, named, scratch), "rest")
-    more = _verify(rest, texts, scratch, "rest")
+    more = _across(shared, groups, named, texts, scratch)
     linked = components(links.unionByName(more), Scratch(docs.sparkSession, "groups"))
     component = F.coalesce("component", "rep", "id")
     return (
