@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.llm.common import bounded_batches
+
 SAMPLE, SAMPLE_BYTES = 200, 200_000
 LAYOUTS, EPOCHS, HIDDEN = 600, 12, 16
 PATH_DIM, WORD_DIM = 96, 32
@@ -351,6 +353,7 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 def extract(pages: DataFrame, labeller: Labeller, id_col: str = "page_id", html_col: str = "html",
             keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id_col, keep..., text)`` of every page."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(id_col, *keep, F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
     names = [id_col, *keep, "text"]
 

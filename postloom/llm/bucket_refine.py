@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import mix, shuffles, text_bytes
+from postloom.llm.common import bounded_batches, mix, text_bytes
 from postloom.scratch import Scratch
 
 #: Fixed value: bytes of a string that must not repeat.
@@ -254,6 +254,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, id_col: str
     ``kept`` are the bytes that are left, in order; with ``as_text`` they are a string, without
     the characters that lost some of their bytes.
     """
+    bounded_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
     spans = repeated_spans(docs, scratch, id_col, text_col, bucket)
     others = [F.col(c).alias(f"__{c}") for c in keep]

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that numpy code in a task works on at a time.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,13 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few rows, as texts are long: a worker holds some MB, not the default 10,000 texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def same_row(a: DataFrame, b: DataFrame, *keys: str) -> Column:
     """Equality of all keys, where null equals null."""
     test = F.lit(True)

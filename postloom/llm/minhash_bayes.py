@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import mix, shuffles, slices, text_bytes
+from postloom.llm.common import bounded_batches, mix, shuffles, slices, text_bytes
 from postloom.operators.components import components
 from postloom.scratch import Scratch
 
@@ -317,6 +317,7 @@ def _across(shared: DataFrame, groups: DataFrame, sigs: DataFrame, docs: DataFra
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component, kept)`` of every row; a component's name is its smallest id."""
+    bounded_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     texts = _texts(docs, id_col, text_col)
     sigs = scratch.save(signatures(docs, id_col, text_col), "signatures")

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.llm.common import bounded_batches
+
 MIN_REVISIT = 1000
 SEGMENT_BYTES, CHUNK_BYTES = 32 << 10, 8 << 10
 RECORDS_PER_FILE = 1000
@@ -106,6 +108,7 @@ def records(page: int | None, url: str | None, payload: bytes, refers: int | Non
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
           content_col: str = "html") -> None:
     """Write one capture per row to gzipped WARC files."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(content_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
