@@ -33,8 +33,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.llm.common import bounded_batches
+
 #: Words a worker remembers; about 250 bytes each.
-CACHE = 600_000
+CACHE = 300_000
 #: Fixed value: the pre-tokenizer's pattern, with Unicode's white space spelled out.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -220,6 +222,7 @@ def encoder(path: str) -> Encoder:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids)``: the ids of every whole text, as little-endian unsigned 32-bit integers."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +236,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """Adds ``text`` to what ``encode`` returns; bytes that are not UTF-8 become replacement characters."""
+    bounded_batches(encoded.sparkSession)
     rows = encoded.select(id_col, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
