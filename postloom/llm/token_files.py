@@ -28,12 +28,15 @@ repeatedly.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,56 +44,95 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from postloom.llm.common import shuffles
+from postloom.llm.bpe import PATTERN
+from postloom.llm.common import bounded_batches, shuffles
 
 MAGIC = b"TOKZDIC1"
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
+LEVEL = 3
 #: A block is closed when its frames reach this size, or holds one document.
 BLOCK_BYTES = 1 << 20
 #: Blocks per file, so that a reader can take a whole file.
 BLOCKS_PER_FILE = 32
+#: Positions of up to this many files (16 bytes each) are broadcast, more are shuffled.
+BROADCAST_FILES = 500_000
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("ids", "<u4")])
-CACHE = 600_000
+#: Pre-tokens and chunks between spaces that a worker remembers, texts it cuts at a time, pre-tokens it encodes at a time.
+CACHE, CHUNKS, TEXTS, WORDS = 400_000, 300_000, 64, 4096
 _GAP = re.compile(r" \s| $")
 
 
 class _Ids:
-    """The library's ids, remembered by word.
+    """The library's ids, remembered by pre-token.
 
-    Before a space that a non-space follows, the byte-level pre-tokenizer
-    always cuts, so pieces cut there have the ids they have in the text.
+    Before a space that a non-space follows, the byte-level pre-tokenizer always
+    cuts, so the chunks between have the ids they have in the text, and so have the
+    pre-tokens of a chunk.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pattern = regex.compile(PATTERN)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = "<u4" if wide else "<u2"
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():
+            self.sizes[i] = len(name)  # a byte-level name has a character per byte
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
     def _pieces(self, text: str) -> list[str] | None:
-        """Pieces of a text, or None if it has to be encoded whole."""
-        if _GAP.search(text) or any(s in text for s in self.special):
-            return None
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
+        """Words without the space before them; None if the text has to be encoded whole."""
+        return None if _GAP.search(text) or any(s in text for s in self.special) else text.split(" ")
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of pre-tokens.
+
+        Those that begin with a space and go on with none are encoded as one text, which costs
+        far less than one by one; tokens are told apart by their lengths in bytes.
+        """
+        spaced = [w for w in words if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, self.kind)
+        bounds = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in spaced])) + 1
+        packed, at = ids.tobytes(), 0
+        for word, bound in zip(spaced, (bounds * ids.itemsize).tolist(), strict=True):
+            self.words[word] = packed[at:bound]
+            at = bound
+        others = list(set(words).difference(spaced))
+        for word, got in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.words[word] = self.pack(got.ids)
+
+    def _remember(self, chunks: list[str]) -> None:
+        """Remember the ids of chunks that follow a space."""
+        words, cut = self.words, [[f" {c}"] if c.isalpha() else self.pattern.findall(f" {c}") for c in chunks]
+        new = list(set(itertools.chain.from_iterable(cut)).difference(words))
+        for k in range(0, len(new), WORDS):
+            self._learn(new[k: k + WORDS])
+        self.known.update(zip(chunks, (b"".join([words[w] for w in c]) for c in cut), strict=True))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of each text, in order."""
         known = self.known
-        new = list({p for pieces in cut if pieces for p in pieces if p not in known})
-        known.update(zip(new, (self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(
-            new, add_special_tokens=False)), strict=True))
-        return [
-            b"".join([known[p] for p in pieces]) if pieces is not None
-            else self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids)
-            for t, pieces in zip(texts, cut, strict=True)]
+        for at in range(0, len(texts), TEXTS):
+            some = texts[at: at + TEXTS]
+            cut = [self._pieces(t) for t in some]
+            if len(known) > CHUNKS:
+                known.clear()
+            if len(self.words) > CACHE:
+                self.words.clear()
+            self._remember(list(set().union(*(c[1:] for c in cut if c)).difference(known)))
+            head = iter(self.tokenizer.encode_batch_fast([c[0] for c in cut if c], add_special_tokens=False))
+            for text, pieces in zip(some, cut, strict=True):
+                yield self.pack(next(head).ids) + b"".join(map(known.__getitem__, pieces[1:])) if pieces else self.pack(
+                    self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 _tokenizers: dict[str, _Ids] = {}
@@ -122,8 +164,14 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(data) if data else None
+def _dictionary(data: bytes, level: int | None = None) -> zstandard.ZstdCompressionDict | None:
+    """The dictionary, made ready once for all documents if a level to compress with is given."""
+    if not data:
+        return None
+    made = zstandard.ZstdCompressionDict(data)
+    if level is not None:
+        made.precompute_compress(level=level)
+    return made
 
 
 def _block(part: int, seq: int, digest: str, kind: str, rows: list[tuple[int | None, int, bytes]]) -> bytes:
@@ -154,6 +202,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str
           text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id``, write blocks to ``folder/blocks``, the dictionary beside them."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     dictionary = train_dictionary(docs, path, id_col, text_col)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(
@@ -162,7 +211,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seq, rows, size = _ids(path), 0, [], 0
         part = TaskContext.get().partitionId()
-        pressed = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
+        pressed = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary, LEVEL))
         end, width = own.pack([end_id]), np.dtype(own.kind).itemsize
 
         def flush() -> pa.RecordBatch:
@@ -254,6 +303,8 @@ def read(spark: SparkSession, folder: str, wanted: set[int] | None = None) -> Da
     order = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     base = totals.selectExpr(
         "part", "first_seq", f"coalesce(sum(total) OVER (ORDER BY part, first_seq {order}), 0L) AS base")
+    if len(files.inputFiles()) <= BROADCAST_FILES:  # a row per file: so the ids stay where they are
+        base = F.broadcast(base)
     return files.mapInArrow(run, ROWS).join(base, ["part", "first_seq"]).select(
         "id", (F.col("base") + F.col("before")).alias("start"), "n", "ids")
 
