@@ -20,6 +20,8 @@ is replaced; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def name_step(value: Column, bits: int) -> Column:
     return F.when(value.isNull(), 0).otherwise(F.pmod(F.xxhash64(value), F.lit((1 << bits) - 1)).cast("int") + 1)
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hilbert_index(steps: list[Column], bits: int) -> Column:
     """The place on the curve of a cell, from one integer per dimension.
 
@@ -61,22 +68,24 @@ def hilbert_index(steps: list[Column], bits: int) -> Column:
             k == 0, F.when(up, v.bitwiseXOR(low)).otherwise(v.bitwiseXOR(swap))
         ).when((k == i) & ~up, v.bitwiseXOR(swap)).otherwise(v))
 
-    turned = F.aggregate(moves, state, turn)
-    # Gray decoding: x[k] ^= x[k-1], then a last correction from the last dimension
-    gray = F.aggregate(
-        F.sequence(F.lit(2), F.lit(n)), F.slice(turned, 1, 1),
-        lambda out, k: F.array_append(out, F.element_at(turned, k).bitwiseXOR(F.element_at(out, k - 1)))
-    ) if n > 1 else turned
-    fix = lambda x: F.aggregate(
-        F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)]), F.lit(0),
-        lambda t, q: F.when(F.element_at(x, n).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
-    both = F.transform(F.array(gray), lambda x: F.transform(x, lambda v: v.bitwiseXOR(fix(x))))
+    def gray(x: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(2), F.lit(n)), F.slice(x, 1, 1),
+            lambda out, k: F.array_append(out, F.element_at(x, k).bitwiseXOR(F.element_at(out, k - 1)))) if n > 1 else x
+
+    def corrected(x: Column) -> Column:
+        last = F.aggregate(
+            F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)]), F.lit(0),
+            lambda t, q: F.when(F.element_at(x, n).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+        return _bind(last, lambda t: F.transform(x, lambda v: v.bitwiseXOR(t)))
+
     places = F.array(*[
         F.struct(F.lit(i + 1).alias("i"), F.lit(b).alias("b")) for b in range(bits - 1, -1, -1) for i in range(n)])
-    return F.aggregate(
+    interleaved = lambda x: F.aggregate(
         places, F.lit(0).cast("long"),
         lambda acc, p: F.shiftleft(acc, 1).bitwiseOR(
-            F.call_function("shiftright", F.element_at(both[0], p["i"]), p["b"]).bitwiseAND(F.lit(1)).cast("long")))
+            F.call_function("shiftright", F.element_at(x, p["i"]), p["b"]).bitwiseAND(F.lit(1)).cast("long")))
+    return _bind(F.aggregate(moves, state, turn), lambda a: _bind(gray(a), lambda b: _bind(corrected(b), interleaved)))
 
 
 def shards(df: DataFrame, steps: list[Column], bits: int, ties: list[Column], n_shards: int,
@@ -88,9 +97,9 @@ def shards(df: DataFrame, steps: list[Column], bits: int, ties: list[Column], n_
     spark = df.sparkSession
     scratch = scratch or Scratch(spark, "hilbert")
     keep = [c for c in df.columns if c not in ADDED]
-    # the curve index is computed once, before the range partitioner samples its keys
-    placed = df.select(*keep, hilbert_index(steps, bits).alias("curve"),
-                       *[t.alias(f"__t{k}") for k, t in enumerate(ties)])
+    # written first, as the range partitioner reads its input twice, for a sample and for good
+    placed = scratch.save(df.select(*keep, hilbert_index(steps, bits).alias("curve"),
+                                    *[t.alias(f"__t{k}") for k, t in enumerate(ties)]), "placed")
     order = ["curve", *[f"__t{k}" for k in range(len(ties))]]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     run = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
