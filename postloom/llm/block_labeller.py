@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import bounded_batches
+from postloom.llm.common import bounded_batches, hashed_sample
 
 SAMPLE, SAMPLE_BYTES = 200, 200_000
 LAYOUTS, EPOCHS, HIDDEN = 600, 12, 16
@@ -339,8 +339,8 @@ def layouts(texts: list[str], n: int, seed: int = 11) -> list[tuple[list[Block],
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Labeller:
     """A labeller trained on a bounded sample of pages and on layouts made from their texts."""
-    sample = [r[0] for r in pages.where(F.octet_length(html_col) <= SAMPLE_BYTES).select(
-        html_col, F.xxhash64(id_col, html_col).alias("h")).orderBy("h", html_col).limit(SAMPLE).collect()]
+    usable = hashed_sample(pages, 2 * SAMPLE, id_col, html_col).where(F.octet_length(html_col) <= SAMPLE_BYTES)
+    sample = sorted(r[0] for r in usable.select(html_col).limit(SAMPLE).collect())
     cut = [blocks(p) for p in sample]
     labels = [markup_labels(c) for c in cut]
     texts = sorted({b.text for c, y in zip(cut, labels, strict=True) for b, k in zip(c, y, strict=True) if k})

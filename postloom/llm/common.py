@@ -23,6 +23,18 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most ``n`` rows, those of smallest key hash; equal tables give equal samples.
+
+    Rows are first thinned out by the hash to about four times as many, so that
+    the sort gets few rows however many tasks there are.
+    """
+    total, reach, h = df.count(), 1 << 31, F.xxhash64(*keys)
+    thin = F.pmod(h, F.lit(reach)) < min(reach, 4 * n * reach // max(1, total))
+    order = F.pmod(h, F.lit(reach))
+    return df.where(thin).orderBy(order, h).limit(n)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold few rows, as texts are long: a worker holds some MB, not the default 10,000 texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

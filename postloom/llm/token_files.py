@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from postloom.llm.bpe import PATTERN
-from postloom.llm.common import bounded_batches, shuffles
+from postloom.llm.common import bounded_batches, hashed_sample, shuffles
 
 MAGIC = b"TOKZDIC1"
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
@@ -150,7 +150,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def train_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A dictionary for these documents; of few or short ones, their ids as they are."""
-    some = _texts(docs, id_col, text_col).orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(SAMPLE)
+    some = hashed_sample(_texts(docs, id_col, text_col), SAMPLE, "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
