@@ -1,7 +1,8 @@
 """Queries over the driver's tables, each with the SQL that must agree with it.
 
 The tables hold no job postings, so ``postings`` below derives them: every
-document is a posting whose title is its first clause. Keyword lists and role
+document is a posting whose title is its first clause. The ``clause_`` queries
+read whole texts: every clause is a posting. Keyword lists and role
 rules are parameters, so the queries pass some that occur in these texts.
 """
 
@@ -44,6 +45,7 @@ ROLES = (
     ("Der", role_pattern("der", "die", "und")),
 )
 TITLE = r"^[^.,|\n]*"
+CLAUSE_END = r"[.,|\n]"
 CAP = 100
 
 
@@ -75,6 +77,15 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_postings(_table(spark, sf_dir, "documents"))
 
 
+def clause_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clause of every text as a posting, in the order of documents and places."""
+    arrival = F.when(F.col("doc_id").between(0, (1 << 31) - 1), F.shiftleft("doc_id", 32) + F.col("place")).otherwise(
+        F.raise_error(F.lit("doc_id leaves no room for the place of a clause")).cast("long"))
+    clauses = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", CLAUSE_END, -1)).alias("place", "title"))
+    return clauses.select(arrival.alias("arrival"), "title")
+
+
 def _stored_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Labelled documents play the stored postings, the others the new ones."""
     labelled = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("arrival")).distinct()
@@ -357,8 +368,8 @@ def q_summary_regroup(spark, sf_dir):
     return _text_length(df.select("arrival", "description", "salary"))
 
 
-def _distinct(spark, sf_dir):
-    rows = features.distinct_titles(titles.titled(postings(spark, sf_dir)))
+def _distinct(spark, sf_dir, source_rows=postings):
+    rows = features.distinct_titles(titles.titled(source_rows(spark, sf_dir)))
     return Scratch(spark, "titles").save(rows, "titles")
 
 
@@ -378,8 +389,8 @@ def q_tfidf_union(spark, sf_dir):
     return _rounded(features.union_features(features.tfidf(_distinct(spark, sf_dir))))
 
 
-def _pairs(spark, sf_dir, scratch):
-    vectors, _ = similarity.title_vectors(_distinct(spark, sf_dir), scratch)
+def _pairs(spark, sf_dir, scratch, source_rows=postings):
+    vectors, _ = similarity.title_vectors(_distinct(spark, sf_dir, source_rows), scratch)
     return similarity.similar_pairs(vectors, 0.55, scratch)
 
 
@@ -400,6 +411,39 @@ def q_title_cluster_sizes(spark, sf_dir):
     return reports.cluster_sizes(titles.clustered(postings(spark, sf_dir)), 25)
 
 
+def q_clause_role_counts(spark, sf_dir):
+    return titles.role_counts(clause_postings(spark, sf_dir), ROLES)
+
+
+def q_clause_tfidf_word(spark, sf_dir):
+    return _rounded(features.tfidf_word(_distinct(spark, sf_dir, clause_postings)).drop("block"))
+
+
+def q_clause_tfidf_char(spark, sf_dir):
+    return _rounded(features.tfidf_char(_distinct(spark, sf_dir, clause_postings)).drop("block"))
+
+
+def q_clause_tfidf_union(spark, sf_dir):
+    return _rounded(features.union_features(features.tfidf(_distinct(spark, sf_dir, clause_postings))))
+
+
+def q_clause_similar_titles(spark, sf_dir):
+    return _pairs(spark, sf_dir, Scratch(spark, "similar"), clause_postings).withColumn("sim", F.round("sim", 6))
+
+
+def q_clause_title_components(spark, sf_dir):
+    return components(_pairs(spark, sf_dir, Scratch(spark, "similar"), clause_postings))
+
+
+def q_clause_title_clusters(spark, sf_dir):
+    rows = titles.titled(clause_postings(spark, sf_dir))
+    return linkage.assign(rows, linkage.cluster_titles(rows)).select("arrival", "title_updated", "cluster_id")
+
+
+def q_clause_title_cluster_sizes(spark, sf_dir):
+    return reports.cluster_sizes(titles.clustered(clause_postings(spark, sf_dir)), 25)
+
+
 def _given_clusters(spark, sf_dir):
     """The document's source as a given cluster."""
     return _table(spark, sf_dir, "documents").select(
@@ -443,11 +487,17 @@ def q_ingest_batches(spark, sf_dir):
 
 
 def q_ingest_stream(spark, sf_dir):
+    """A batch ingest of the first quarter, then a stream to which the other quarters arrive one by one."""
     scratch = Scratch(spark, "stream")
     store = PostingStore(spark, f"{scratch.root}/postings")
-    schema = _table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    ingest_stream(_as_postings(stream), store, CFG, f"{scratch.root}/checkpoint").awaitTermination()
+    docs = _table(spark, sf_dir, "documents")
+    quarter = (docs.agg(F.max("doc_id")).first()[0] or 0) // 4 + 1
+    place = F.coalesce(F.expr(f"doc_id DIV {quarter}"), F.lit(0))
+    collect.ingest(store, _as_postings(docs.where(place == 0)), CFG)
+    for k in (1, 2, 3):
+        docs.where(place == k).write.mode("append").parquet(f"{scratch.root}/arrived")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{scratch.root}/arrived")
+        ingest_stream(_as_postings(stream), store, CFG, f"{scratch.root}/checkpoint").awaitTermination()
     return store.read().select("arrival", "title", "url", "company", "scraped_at")
 
 

@@ -429,3 +429,13 @@ SQL: dict[str, str] = {
     "ingest_batches": _INGESTED,
     "ingest_stream": _INGESTED,
 }
+
+# every clause of every text; the other queries see the first one only
+CLAUSE_POSTINGS = r"""
+postings AS (
+  SELECT doc_id * 4294967296 + place AS arrival, title FROM (
+    SELECT doc_id, unnest(range(len(c))) AS place, unnest(c) AS title
+    FROM (SELECT doc_id, string_split_regex(text, '[.,|\n]') AS c FROM documents)))"""
+
+SQL |= {f"clause_{name}": SQL[name].replace(POSTINGS, CLAUSE_POSTINGS) for name in (
+    "role_counts", "tfidf_word", "tfidf_char", "tfidf_union", "similar_titles", "title_components")}
