@@ -16,6 +16,9 @@ from postloom.llm.common import table
 from postloom.llm.queries import TOKENIZER
 from postloom.scratch import Scratch
 
+#: Documents whose sets of five-word shingles are this similar, in percent, are near duplicates.
+NEAR_PERCENT = 85
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned decision list keep."""
@@ -24,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return minhash_bayes.one_per_group(docs)
+    return minhash_bayes.one_per_group(docs, percent=NEAR_PERCENT)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,10 @@ arrays, each pair in the first band it shares, and then the full sets of the mem
 survivors. It returns the links that join groups, fewer than it has members.
 That is exact however large a bucket is, and no task holds more than two blocks.
 
-A pair at the threshold shares no band with probability
-``(1 - 0.85**ROWS)**BANDS`` = 2.6e-7, and less above it.
+The threshold is a percentage that the caller may give. A pair at the threshold
+shares no band with probability ``(1 - threshold**rows)**bands``, and less above
+it: 2.6e-7 for 85 with 32 bands of 6. ``shape`` picks fewer rows for lower ones,
+2.8e-7 for 80 with 38 bands of 5, and refuses what no shape finds that surely.
 
 Input rules: null, empty and wordless texts have no shingles and link with
 nothing; fewer than ``SHINGLE`` words are one shingle; rows of one id are one
@@ -31,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,7 @@ from postloom.llm.common import bounded_batches, mix, shuffles, slices, text_byt
 from postloom.operators.components import components
 from postloom.scratch import Scratch
 
-#: Words of a shingle; a link has 100 * intersection >= 85 * union.
+#: Words of a shingle; a link has 100 * intersection >= percent * union, by default 85.
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
 #: Chance to drop a pair at the threshold, and hashes per comparison.
@@ -51,6 +54,8 @@ BLOCK = 256
 BROADCAST_IDS = 1_000_000
 
 _N = BANDS * ROWS
+#: The most a pair at the threshold may miss all bands by.
+UNSHARED = 3e-7
 _random = np.random.default_rng(20240101)
 _FACTORS = _random.integers(1, 1 << 63, _N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -133,11 +138,21 @@ def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
-def bucket_keys(sigs: np.ndarray) -> np.ndarray:
+@cache
+def shape(percent: int) -> tuple[int, int]:
+    """``(bands, rows)`` out of the signature's values: the most rows that still find a pair at the threshold."""
+    for rows in range(ROWS, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (_N // rows) <= UNSHARED:
+            return _N // rows, rows
+    raise ValueError(f"a signature of {_N} values does not find pairs of {percent} percent surely")
+
+
+def bucket_keys(sigs: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """A 64-bit key per text and band, from a matrix of signatures."""
-    parts = sigs.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(parts), 1))
-    for r in range(ROWS):
+    bands, rows = shape(percent)
+    parts = sigs[:, :bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+    key = np.tile(np.arange(bands, dtype=np.uint64), (len(parts), 1))
+    for r in range(rows):
         key = mix(key * np.uint64(_BASE) + parts[:, :, r])
     return key.view(np.int64)
 
@@ -146,22 +161,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, _N)
 
 
-def buckets(sigs: DataFrame) -> DataFrame:
+def buckets(sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(bucket, id)``, one row per band."""
+    bands, _ = shape(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                keys = bucket_keys(_matrix(part.column(1)))
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
+                keys = bucket_keys(_matrix(part.column(1)), percent)
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["bucket", "id"])
 
     return sigs.select("id", "sig").mapInArrow(run, "bucket long, id long")
 
 
-def least_matches(n: int) -> int:
+def least_matches(n: int, percent: int = PERCENT) -> int:
     """The fewest matches of n with which a pair may go on."""
-    p, total, m = PERCENT / 100, 0.0, 0
+    p, total, m = percent / 100, 0.0, 0
     while True:
         total += math.comb(n + 1, m) * p**m * (1 - p) ** (n + 1 - m)
         if total >= MISS:
@@ -169,13 +186,15 @@ def least_matches(n: int) -> int:
         m += 1
 
 
-_LEAST = {n: least_matches(n) for n in range(BATCH, _N + 1, BATCH)}
+@cache
+def _least(percent: int) -> dict[int, int]:
+    return {n: least_matches(n, percent) for n in range(BATCH, _N + 1, BATCH)}
 
 
-def possible(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def possible(left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which rows of two signature matrices may still be a link, after all batches."""
     alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
-    for n, least in _LEAST.items():
+    for n, least in _least(percent).items():
         matches[alive] += (left[alive, n - BATCH: n] == right[alive, n - BATCH: n]).sum(axis=1)
         alive = alive[matches[alive] >= least]
     out = np.zeros(len(left), bool)
@@ -183,7 +202,7 @@ def possible(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prune(pairs: DataFrame, sigs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _prune(pairs: DataFrame, sigs: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
     """The pairs (a, b) that signatures leave possible."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = scratch.save(_only(sigs.select("id", "sig"), nodes, "left_semi"), f"{name}-sigs")
@@ -192,13 +211,13 @@ def _prune(pairs: DataFrame, sigs: DataFrame, scratch: Scratch, name: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = possible(_matrix(batch.column(2)), _matrix(batch.column(3)))
+            keep = possible(_matrix(batch.column(2)), _matrix(batch.column(3)), percent)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
     """The pairs that are links on their full sets, as a written table."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = scratch.save(_sets(_only(docs, nodes, "left_semi")), f"{name}-sets")
@@ -209,19 +228,19 @@ def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> D
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                keep.append(_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+                keep.append(_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return scratch.save(both.mapInArrow(run, "a long, b long").distinct(), f"{name}-links")
 
 
-def _meet(bucket: int, lo: int, hi: int, members: list[dict]) -> list[dict]:
+def _meet(bucket: int, lo: int, hi: int, members: list[dict], percent: int = PERCENT) -> list[dict]:
     """Possible pairs of different groups in one block, or between two, if this is the first band they share."""
     sigs = np.frombuffer(b"".join(m["sig"] for m in members), "<u4").reshape(-1, _N)
     ids = np.array([m["id"] for m in members], np.int64)
     groups = np.array([m["grp"] for m in members], np.int64)
     blocks = np.array([m["block"] for m in members], np.int64)
-    keys = bucket_keys(sigs)
+    keys = bucket_keys(sigs, percent)
     band = int(np.flatnonzero(keys[0] == bucket)[0])
     out = []
     for x in range(len(ids)):
@@ -229,18 +248,18 @@ def _meet(bucket: int, lo: int, hi: int, members: list[dict]) -> list[dict]:
         y = y[(groups[y] != groups[x]) & ((lo == hi) | (blocks[y] != blocks[x]))]
         if len(y):
             y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
-            y = y[possible(np.broadcast_to(sigs[x], (len(y), _N)), sigs[y])]
+            y = y[possible(np.broadcast_to(sigs[x], (len(y), _N)), sigs[y], percent)]
             out += [{"a": int(ids[x]), "b": int(ids[k]), "ga": int(groups[x]), "gb": int(groups[k])} for k in y]
     return out
 
 
-def _linked(u: np.ndarray, v: np.ndarray) -> bool:
+def _linked(u: np.ndarray, v: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets are a link."""
     common = len(np.intersect1d(u, v, assume_unique=True))
-    return common > 0 and 100 * common >= PERCENT * (len(u) + len(v) - common)
+    return common > 0 and 100 * common >= percent * (len(u) + len(v) - common)
 
 
-def _forest(pairs: list[dict], members: list[dict]) -> list[tuple[int, int]]:
+def _forest(pairs: list[dict], members: list[dict], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links among the possible pairs that join what was not joined before; the others change no group."""
     sets: dict[int, list[np.ndarray]] = {}
     for m in members:
@@ -255,7 +274,7 @@ def _forest(pairs: list[dict], members: list[dict]) -> list[tuple[int, int]]:
     out = []
     for p in pairs:
         x, y = top(p["ga"]), top(p["gb"])
-        if x != y and any(_linked(u, v) for u in sets[p["a"]] for v in sets[p["b"]]):
+        if x != y and any(_linked(u, v, percent) for u in sets[p["a"]] for v in sets[p["b"]]):
             parent[x] = y
             out.append((min(p["a"], p["b"]), max(p["a"], p["b"])))
     return out
@@ -265,7 +284,8 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _across(shared: DataFrame, groups: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _across(shared: DataFrame, groups: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratch,
+            percent: int) -> DataFrame:
     """Links between members of a bucket that are in different groups, enough to join all groups that are linked.
 
     Pairs with the centre were tested before. Blocks meet twice: with signatures, to
@@ -292,7 +312,7 @@ def _across(shared: DataFrame, groups: DataFrame, sigs: DataFrame, docs: DataFra
         for batch in batches:
             for row in range(batch.num_rows):
                 place = [batch.column(c)[row].as_py() for c in range(3)]
-                pairs = _meet(*place, batch.column(3)[row].as_py())
+                pairs = _meet(*place, batch.column(3)[row].as_py(), percent)
                 if pairs:
                     yield pa.RecordBatch.from_arrays(
                         [*(pa.array([x], pa.int64()) for x in place), pa.array([pairs], kind)], ["bucket", "lo", "hi", "pairs"])
@@ -308,15 +328,18 @@ def _across(shared: DataFrame, groups: DataFrame, sigs: DataFrame, docs: DataFra
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                yield _pairs_batch(_forest(batch.column(0)[row].as_py(), batch.column(1)[row].as_py()))
+                yield _pairs_batch(_forest(batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), percent))
 
     return scratch.save(met.join(gathered, ["bucket", "lo", "hi"]).select("pairs", "members").mapInArrow(
         verify, "a long, b long").distinct(), "more-links")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component, kept)`` of every row; a component's name is its smallest id."""
+                    text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``(id, n_shingles, component, kept)`` of every row; a component's name is its smallest id.
+
+    Texts are linked if their shingle sets are similar by ``percent`` or more.
+    """
     bounded_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     texts = _texts(docs, id_col, text_col)
@@ -325,16 +348,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str
     first = scratch.save(named.groupBy("digest").agg(F.min("id").alias("rep")), "first")
     copies = scratch.save(
         named.select("id", "digest").join(first, "digest").where("id != rep").select("id").distinct(), "copies")
-    bands = scratch.save(buckets(_only(named, copies, "left_anti")).distinct(), "bands")
+    bands = scratch.save(buckets(_only(named, copies, "left_anti"), percent).distinct(), "bands")
     centres = bands.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
     shared = scratch.save(bands.join(centres.drop("last"), "bucket"), "shared")
     stars = scratch.save(
         shared.where(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(),
         "stars")
-    survivors = scratch.save(_prune(stars, named, scratch, "stars"), "star-survivors")
-    links = _verify(survivors, texts, scratch, "stars")
+    survivors = scratch.save(_prune(stars, named, scratch, "stars", percent), "star-survivors")
+    links = _verify(survivors, texts, scratch, "stars", percent)
     groups = components(links, Scratch(docs.sparkSession, "groups"))
-    more = _across(shared, groups, named, texts, scratch)
+    more = _across(shared, groups, named, texts, scratch, percent)
     linked = components(links.unionByName(more), Scratch(docs.sparkSession, "groups"))
     component = F.coalesce("component", "rep", "id")
     return (
@@ -346,10 +369,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str
 
 
 def one_per_group(docs: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents that stay, as they are: the smallest id of each group, and one row of each id."""
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
-    found = scratch.save(near_duplicates(docs, scratch, id_col, text_col), "groups")
+    found = scratch.save(near_duplicates(docs, scratch, id_col, text_col, percent), "groups")
     gone = scratch.save(found.where("NOT kept").select("id").distinct(), "gone")
     stay = docs.join(
         F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs[id_col] == gone["id"], "left_anti")

@@ -69,7 +69,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
-    return minhash_bayes.near_duplicates(table(spark, sf_dir, "documents")).select(
+    return minhash_bayes.near_duplicates(table(spark, sf_dir, "documents"), percent=85).select(
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 

@@ -79,3 +79,20 @@ def test_signatures_estimate_similarity():
     (_, a), (_, b) = m.shingle_sets(column)
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((m.signature(a) == m.signature(b)).mean() - true) < 0.12
+
+
+def test_pairs_between_two_thresholds(spark):
+    words = prose(150, 21).split()
+    edited = [f"edit{k}" if k in (30, 70, 110) else w for k, w in enumerate(words)]  # 131 of 161 shingles: 0.814
+    docs = documents(spark, [" ".join(words), " ".join(edited), prose(80, 22)])
+    component = lambda p: [r.component for r in sorted(m.near_duplicates(docs, percent=p).collect(), key=lambda x: x.id)]
+    assert component(80) == [0, 0, 2] and component(85) == [0, 1, 2]
+    assert sorted(r.doc_id for r in m.one_per_group(docs, percent=80).collect()) == [0, 2]
+    assert m.one_per_group(docs).count() == 3
+
+
+def test_bands_follow_the_threshold():
+    assert m.shape(85) == (m.BANDS, m.ROWS)
+    for percent in (75, 80, 85, 95):
+        bands, rows = m.shape(percent)
+        assert (1 - (percent / 100) ** rows) ** bands < 3e-7 and bands * rows <= m._N
