@@ -44,9 +44,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids)`` of every document that is left; ids are little-endian unsigned 32-bit integers."""
-    return bpe.encode(docs, public_tokenizers.path(TOKENIZER)).select(
-        "doc_id", F.expr("octet_length(ids) DIV 4").alias("n_tokens"), "ids")
+    """``(doc_id, n_tokens, ids, text)`` of every document that is left.
+
+    Ids are little-endian unsigned 32-bit integers; the text is what they decode to by the offset table.
+    """
+    path = public_tokenizers.path(TOKENIZER)
+    return bpe.decode(bpe.encode(docs, path), path).select(
+        "doc_id", F.expr("octet_length(ids) DIV 4").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [

@@ -51,3 +51,9 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         assert stage(spark, docs, folder).columns == docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality rules", "MinHash near-dedup", "suffix-array dedup", "benchmark decontamination", "BPE encoding"]
+
+
+def test_last_stage_decodes_its_ids(spark):
+    docs = documents(spark, ["the clerk", "é漢字 \n x", "", None], extra=False)
+    got = {r.doc_id: r.text for r in corpus_pipeline.token_ids(spark, docs, "").collect()}
+    assert got == {0: "the clerk", 1: "é漢字 \n x", 2: "", 3: ""}
