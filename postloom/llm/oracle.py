@@ -68,4 +68,60 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op4_winnowing": WINNOWING, "op5_warc": WARC, "op6_minhash": MINHASH, "op7_bucket_refine": REPEATS}
+FILL_IN_MIDDLE = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+    CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+# Fixed value: the CRC-32 polynomial, bits reversed; the bits of a byte come in from the lowest.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(s) + 1),
+  lambda i: list_transform(range(0, 8), lambda b: (ascii(substring(s, i, 1)) >> b) & 1)))),
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"""
+
+PERIODIC = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS s,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, CAST({_CRC} AS BIGINT) AS h FROM d),
+a AS (SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN (h // 10) % n ELSE n END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+raw AS (SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS word FROM p),
+x AS (
+  SELECT doc_id, i, word FROM (SELECT doc_id, unnest(range(0, n)) AS i, a, p FROM p) t
+  JOIN (SELECT doc_id, i AS o, word FROM raw) r USING (doc_id) WHERE o = CASE WHEN i < a THEN i ELSE a + (i - a) % p END),
+factor(size, doc_id, i, name) AS (
+  SELECT CAST(1 AS BIGINT), doc_id, i, md5(word) FROM x
+  UNION ALL
+  SELECT 2 * size, doc_id, i, md5(name || half) FROM (
+    SELECT size, doc_id, i, name, lead(name, CAST(size AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS half FROM factor)
+  WHERE half IS NOT NULL),
+step AS (SELECT size, doc_id, i, lead(i) OVER (PARTITION BY size, doc_id, name ORDER BY i) - i AS q FROM factor),
+near AS (SELECT *, i - row_number() OVER (PARTITION BY size, doc_id, q ORDER BY i) AS island FROM step WHERE 2 * q > size AND q <= size),
+run AS (
+  SELECT DISTINCT doc_id, min(i) AS start, max(i) - min(i) + size + q AS length, q AS period FROM near
+  GROUP BY size, doc_id, q, island HAVING max(i) - min(i) + size + q >= greatest(6, 4 * q)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS place FROM run),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS rest FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM p LEFT JOIN listed USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+SQL = {"op11_fill_in_middle": FILL_IN_MIDDLE, "op12_periodic_runs": PERIODIC, "op4_winnowing": WINNOWING, "op5_warc": WARC, "op6_minhash": MINHASH, "op7_bucket_refine": REPEATS}

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import (
-    block_labeller, bpe, bucket_refine, decision_list, hilbert, minhash_bayes, token_files, url_model, warc, winnowing,
+    block_labeller, bpe, bucket_refine, decision_list, fill_in_middle, hilbert, minhash_bayes, periodic_runs, simhash_trie,
+    token_files, url_model, warc, winnowing,
 )
 from postloom.llm.common import table
 from postloom.llm.oracle import SQL
@@ -111,6 +112,31 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three and put together in another order, and the text rebuilt from that."""
+    return fill_in_middle.transform(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, a tenth of them with a periodic tail written in, and the texts without repeats."""
+    found = periodic_runs.collapse(periodic_runs.planted(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SimHash group of every document."""
+    return simhash_trie.near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), simhash_trie.as_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and "_" in name}
 

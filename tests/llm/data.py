@@ -33,3 +33,9 @@ def texts():
         "é" * 400 + prose(5, 7), "é" * 401, "aaaa " * 300, prose(3000, 8), "漢字 " * 90, "a,b;c" * 3,
         prose(12, 9), prose(13, 10),
     ]
+
+
+def as_tables(docs, folder):
+    """A folder with the documents table, as the registered queries read it."""
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    return str(folder)
