@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -486,19 +487,45 @@ def q_ingest_batches(spark, sf_dir):
     return store.read().select("arrival", "title", "url", "company", "scraped_at")
 
 
-def q_ingest_stream(spark, sf_dir):
-    """A batch ingest of the first quarter, then a stream to which the other quarters arrive one by one."""
+def _streamed(spark, sf_dir, as_postings, cfg, first=1):
+    """Four quarters of the documents: those before ``first`` by a batch ingest, the others arrive one by one in a stream."""
     scratch = Scratch(spark, "stream")
     store = PostingStore(spark, f"{scratch.root}/postings")
     docs = _table(spark, sf_dir, "documents")
     quarter = (docs.agg(F.max("doc_id")).first()[0] or 0) // 4 + 1
     place = F.coalesce(F.expr(f"doc_id DIV {quarter}"), F.lit(0))
-    collect.ingest(store, _as_postings(docs.where(place == 0)), CFG)
-    for k in (1, 2, 3):
+    if first:
+        collect.ingest(store, as_postings(docs.where(place < first)), cfg)
+    for k in range(first, 4):
         docs.where(place == k).write.mode("append").parquet(f"{scratch.root}/arrived")
         stream = spark.readStream.schema(docs.schema).parquet(f"{scratch.root}/arrived")
-        ingest_stream(_as_postings(stream), store, CFG, f"{scratch.root}/checkpoint").awaitTermination()
-    return store.read().select("arrival", "title", "url", "company", "scraped_at")
+        ingest_stream(as_postings(stream), store, cfg, f"{scratch.root}/checkpoint").awaitTermination()
+    return store.read()
+
+
+def q_ingest_stream(spark, sf_dir):
+    """A batch ingest of the first quarter, then a stream to which the other quarters arrive one by one."""
+    return _streamed(spark, sf_dir, _as_postings, CFG).select("arrival", "title", "url", "company", "scraped_at")
+
+
+def _with_sessions(docs):
+    """Postings with sessions in which descriptions repeat: a third say one thing, a third another."""
+    kind = F.expr("CAST(substr(salary, 2) AS BIGINT) % 3")
+    return _as_postings(docs).withColumns({
+        "session": F.when(F.col("layout") == "A", F.col("company")).otherwise(F.lit("all")),
+        "description": F.when(F.col("salary") == " ", "others").when(kind == 0, "a notion").when(kind == 1, "others")
+        .otherwise(F.col("description"))})
+
+
+def q_ingest_stream_sessions(spark, sf_dir):
+    """Stale descriptions across the borders of four micro-batches."""
+    return _text_length(_streamed(spark, sf_dir, _with_sessions, CFG, 0).select("arrival", "title", "url", "company", "description"))
+
+
+def q_ingest_stream_capped(spark, sf_dir):
+    """The same run, ended when it has admitted its number of rows."""
+    cfg = replace(CFG, max_rows=CAP)
+    return _text_length(_streamed(spark, sf_dir, _with_sessions, cfg, 0).select("arrival", "title", "url", "company", "description"))
 
 
 def q_cleaned_store(spark, sf_dir):

@@ -301,6 +301,34 @@ _INGESTED = f"WITH RECURSIVE {SCREENED}, wanted AS (SELECT * FROM screened WHERE
 SELECT arrival, nullif(title, '') AS title, nullif(url, '') AS url, company, scraped_at
 FROM postings JOIN kept USING (arrival)"""
 
+# postings with sessions: stale descriptions are blanked among the rows that pass the field and title gates
+_SESSIONS = SCREENED.split("screened AS (")[0].replace("text AS description", """CASE
+           WHEN source = 'src5' OR n_chars % 3 = 1 THEN 'others' WHEN n_chars % 3 = 0 THEN 'a notion' ELSE text END AS description,
+         CASE WHEN source NOT IN ('src0','src1','src2','src3','src4') THEN 'all'
+              WHEN source = 'src11' THEN 'N/A' ELSE lang END AS session""") + f"""
+shown AS (
+  SELECT arrival, layout, session, CASE WHEN NOT {_missing('description')} THEN trim(description) END AS t FROM tiered
+  WHERE missing IS NULL AND tier IN ('KEEP_IMMEDIATE', 'CHECK_DESCRIPTION')),
+runs AS (
+  SELECT *, row_number() OVER (PARTITION BY layout, session ORDER BY arrival)
+          - row_number() OVER (PARTITION BY layout, session, t ORDER BY arrival) AS run FROM shown),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY layout, session, t, run ORDER BY arrival) AS pos,
+    last_value(t IGNORE NULLS) OVER (PARTITION BY layout, session ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
+  FROM runs),
+blanked AS (
+  SELECT arrival, CASE WHEN t IS NULL OR (layout = 'A' AND pos % 2 = 0) OR (layout = 'B' AND t IS NOT DISTINCT FROM p)
+    THEN 'N/A' ELSE t END AS now FROM placed),
+screened AS (
+  SELECT * REPLACE (coalesce(now, description) AS description), missing IS NULL AND (tier = 'KEEP_IMMEDIATE'
+     OR (tier = 'CHECK_DESCRIPTION' AND contains(lower(coalesce(now, description)), 'tion'))) AS passes
+  FROM tiered LEFT JOIN blanked USING (arrival))"""
+_SESSIONS_INGESTED = f"""WITH RECURSIVE {_SESSIONS}, wanted AS (SELECT * FROM screened WHERE passes), {_greedy('wanted')},
+saved AS (
+  SELECT arrival, nullif(title, '') AS title, nullif(url, '') AS url, company, nullif(description, 'N/A') AS d
+  FROM screened JOIN kept USING (arrival))
+SELECT arrival, title, url, company, length(d) AS n_text, md5(d) AS digest FROM saved"""
+
 _STAGED = CHUNKS + r""",
 stage AS (
   SELECT arrival, string_agg(array_to_string(string_split('obtain salary / salary range, if available: ' || chunk, ' ')[-5:], ' '),
@@ -428,6 +456,8 @@ SQL: dict[str, str] = {
     "preview": f"WITH {TITLED} SELECT title, title_updated FROM titled ORDER BY arrival LIMIT 20",
     "ingest_batches": _INGESTED,
     "ingest_stream": _INGESTED,
+    "ingest_stream_sessions": _SESSIONS_INGESTED,
+    "ingest_stream_capped": f"{_SESSIONS_INGESTED} ORDER BY arrival LIMIT 100",
 }
 
 # every clause of every text; the other queries see the first one only

@@ -12,6 +12,8 @@ from postloom.schema import ARRIVAL, MISSING_TEXT
 #: A chunk holds at most 2**20 rows of a session (arrival is unique), and so on
 #: upwards: 2**20 chunks make a part, and a session has at most 2**23 parts.
 CHUNK_BITS = 20
+#: An arrival number before all others.
+BEFORE = -(1 << 62)
 
 
 def _either_contains(a: Column, b: Column) -> Column:
@@ -51,19 +53,17 @@ def match_details(cards: DataFrame, details: DataFrame, layout: str, key: str =
     return joined.drop("d_title", "d_company")
 
 
-def _shown(df: DataFrame, column: str) -> DataFrame:
-    """Session chunks: bounded pieces of a session in arrival order."""
-    return df.withColumn("_text", present(F.col(column))).withColumn(
-        "_chunk", F.shiftright(ARRIVAL, CHUNK_BITS)
-    )
-
-
 def _join_chunks(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """Chunk summaries onto rows; a struct key also matches a null session."""
     key = F.struct(*keys)
     return rows.withColumn("_key", key).join(summary.withColumn("_key", key).drop(*keys), "_key")
 
 
+def text_digest(column: str) -> Column:
+    """128 bits that stand for a text, null where it is missing."""
+    return F.unhex(F.md5(present(F.col(column)).cast("binary")))
+
+
 def blank_stale(df: DataFrame, session: str, layout: str, column: str = "description") -> DataFrame:
     """Replace a description that repeats the last remembered one by ``N/A``.
 
@@ -71,53 +71,89 @@ def blank_stale(df: DataFrame, session: str, layout: str, column: str = "descrip
     remembers a blanked description, so within a run of equal texts every
     second one goes.
 
+    Digests of the texts decide, on narrow rows; the wide rows are only joined with their arrival numbers.
+    """
+    rows = df.select(ARRIVAL, F.col(session).alias("session"), text_digest(column).alias("digest"))
+    return blank_marked(df, stale_marks(rows, layout), column)
+
+
+def blank_marked(df: DataFrame, marks: DataFrame, column: str = "description") -> DataFrame:
+    """Write ``N/A`` where a row is marked as stale or has no text."""
+    stale = marks.where("stale").select(ARRIVAL, F.lit(True).alias("_stale"))
+    text = F.when(F.col("_stale").isNull(), present(F.col(column)))
+    return df.join(stale, ARRIVAL, "left").withColumn(column, F.coalesce(text, F.lit(MISSING_TEXT))).select(*df.columns)
+
+
+def stale_marks(rows: DataFrame, layout: str, memory: DataFrame | None = None) -> DataFrame:
+    """Add ``stale`` to rows ``(arrival, session, digest)``; a digest is null where there is no text.
+
     A session may hold a large part of all rows, so no window spans one.
     Chunks of bounded size are summed up, bounded numbers of chunks into
     parts, and the summaries carry the state from one to the next; the rows
     then need their own chunk only.
-    """
-    rows = _shown(df, column)
-    out = _stale_b(rows, session) if layout == "B" else _stale_a(rows, session)
-    text = F.when(F.col("_stale") | F.col("_text").isNull(), MISSING_TEXT).otherwise(F.col("_text"))
-    return out.withColumn(column, text).select(*df.columns)
-
 
-def _stale_b(rows: DataFrame, session: str) -> DataFrame:
-    keys = [session, "_chunk"]
+    ``memory(session, digest, stale)`` is what ``remembered`` gave for the rows before
+    these. It comes in as rows that arrived first: one, or two of one text if the
+    last row was blanked, so that the run goes on where it stopped.
+    """
+    if memory is not None:
+        times = F.when(F.lit(layout == "A") & F.col("stale"), 2).otherwise(1)
+        before = memory.select(
+            F.explode(F.sequence(F.lit(1), times)).alias("k"), "session", "digest"
+        ).select((F.col("k") + F.lit(BEFORE)).alias(ARRIVAL), "session", "digest")
+        rows = before.unionByName(rows)
+    rows = rows.withColumn("_chunk", F.shiftright(ARRIVAL, CHUNK_BITS))
+    out = _stale_b(rows) if layout == "B" else _stale_a(rows)
+    return out.where(F.col(ARRIVAL) > BEFORE + 2).select(
+        ARRIVAL, "session", "digest", (F.col("stale") & F.col("digest").isNotNull()).alias("stale"))
+
+
+def remembered(marks: DataFrame, layout: str, memory: DataFrame | None = None) -> DataFrame:
+    """``(session, digest, stale)``: what the rows after these have to know of each session met so far."""
+    rows = marks.select("session", ARRIVAL, "digest", "stale")
+    if memory is not None:
+        rows = rows.unionByName(memory.select("session", F.lit(BEFORE).alias(ARRIVAL), "digest", "stale"))
+    at = F.col(ARRIVAL) if layout == "A" else F.when(F.col("digest").isNotNull(), F.col(ARRIVAL))
+    return rows.groupBy("session").agg(F.max_by(F.struct("digest", "stale"), at).alias("m")).select(
+        "session", "m.digest", F.coalesce("m.stale", F.lit(False)).alias("stale"))
+
+
+def _stale_b(rows: DataFrame) -> DataFrame:
+    keys = ["session", "_chunk"]
     last = rows.groupBy(*keys).agg(
-        F.max_by("_text", F.when(F.col("_text").isNotNull(), F.col(ARRIVAL))).alias("_last")
+        F.max_by("digest", F.when(F.col("digest").isNotNull(), F.col(ARRIVAL))).alias("_last")
     )
     inside = Window.partitionBy(*keys).orderBy(ARRIVAL).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("_prev", F.last("_text", ignorenulls=True).over(inside))
-        .transform(_join_chunks, _carry_text(last, session), keys)
-        .withColumn("_stale", F.coalesce(
-            F.col("_text") == F.coalesce("_prev", "_carry"), F.lit(False)))
+        rows.withColumn("_prev", F.last("digest", ignorenulls=True).over(inside))
+        .transform(_join_chunks, _carry_text(last), keys)
+        .withColumn("stale", F.coalesce(
+            F.col("digest") == F.coalesce("_prev", "_carry"), F.lit(False)))
     )
 
 
-def _carry_text(last: DataFrame, session: str, top: bool = False) -> DataFrame:
-    """Per chunk, the last text before it; ``_last`` is the last text in it."""
+def _carry_text(last: DataFrame, top: bool = False) -> DataFrame:
+    """Per chunk, the digest of the last text before it; ``_last`` is that of the last one in it."""
     last = last.withColumn("_part", F.lit(0) if top else F.shiftright("_chunk", CHUNK_BITS))
     before = (
-        Window.partitionBy(session, "_part").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("session", "_part").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
     near = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
     if top:
-        return near.select(session, "_chunk", "_carry")
-    parts = last.groupBy(session, F.col("_part").alias("_chunk")).agg(
+        return near.select("session", "_chunk", "_carry")
+    parts = last.groupBy("session", F.col("_part").alias("_chunk")).agg(
         F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_chunk"))).alias("_last")
     )
-    far = _carry_text(parts, session, top=True).toDF(session, "_part", "_far")
-    return _join_chunks(near, far, [session, "_part"]).select(
-        session, "_chunk", F.coalesce("_carry", "_far").alias("_carry")
+    far = _carry_text(parts, top=True).toDF("session", "_part", "_far")
+    return _join_chunks(near, far, ["session", "_part"]).select(
+        "session", "_chunk", F.coalesce("_carry", "_far").alias("_carry")
     )
 
 
-def _stale_a(rows: DataFrame, session: str) -> DataFrame:
-    keys = [session, "_chunk"]
+def _stale_a(rows: DataFrame) -> DataFrame:
+    keys = ["session", "_chunk"]
     in_order = Window.partitionBy(*keys).orderBy(ARRIVAL)
-    same = F.col("_text").eqNullSafe(F.lag("_text").over(in_order))
+    same = F.col("digest").eqNullSafe(F.lag("digest").over(in_order))
     rows = (
         rows.withColumn("_new", F.when(F.row_number().over(in_order) == 1, 1)
                         .otherwise(F.when(same, 0).otherwise(1)))
@@ -128,44 +164,44 @@ def _stale_a(rows: DataFrame, session: str) -> DataFrame:
     # One summary per chunk: its ends, the length of its last run, and
     # whether that run is all of it.
     ends = rows.groupBy(*keys).agg(
-        F.min_by(F.struct("_text"), ARRIVAL).alias("_first"),
-        F.max_by(F.struct("_text", "_pos", "_run"), ARRIVAL).alias("_end"),
+        F.min_by(F.struct("digest"), ARRIVAL).alias("_first"),
+        F.max_by(F.struct("digest", "_pos", "_run"), ARRIVAL).alias("_end"),
     ).select(
-        *keys, "_first._text", F.col("_end._text").alias("_last"), F.col("_end._pos").alias("_tail"),
+        *keys, "_first.digest", F.col("_end.digest").alias("_last"), F.col("_end._pos").alias("_tail"),
         (F.col("_end._run") == 1).alias("_solid"),
-    ).withColumnRenamed("_text", "_first")
-    return _join_chunks(rows, _carry_run(ends, session), keys).withColumn(
-        "_stale",
+    ).withColumnRenamed("digest", "_first")
+    return _join_chunks(rows, _carry_run(ends), keys).withColumn(
+        "stale",
         (F.col("_pos") + F.when(F.col("_run") == 1, F.col("_carry")).otherwise(0)) % 2 == 0,
     )
 
 
-def _carry_run(ends: DataFrame, session: str, top: bool = False) -> DataFrame:
+def _carry_run(ends: DataFrame, top: bool = False) -> DataFrame:
     """Per chunk, how many rows of its first run lie in earlier chunks.
 
     That is the last run of the chunk before, if it goes on here, plus what
     that run carried itself if it fills its chunk.
     """
     ends = ends.withColumn("_part", F.lit(0) if top else F.shiftright("_chunk", CHUNK_BITS))
-    in_part = Window.partitionBy(session, "_part").orderBy("_chunk")
+    in_part = Window.partitionBy("session", "_part").orderBy("_chunk")
     joins = (F.row_number().over(in_part) > 1) & F.col("_first").eqNullSafe(F.lag("_last").over(in_part))
     through = joins & F.lag("_solid").over(in_part)
     ends = ends.withColumn("_add", F.when(joins, F.lag("_tail").over(in_part)).otherwise(0)).withColumn(
         "_segment", F.sum(F.when(through, 0).otherwise(1)).over(in_part)
     )
-    so_far = Window.partitionBy(session, "_part", "_segment").orderBy("_chunk")
+    so_far = Window.partitionBy("session", "_part", "_segment").orderBy("_chunk")
     near = ends.withColumn("_carry", F.sum("_add").over(so_far))
     if top:
-        return near.select(session, "_chunk", "_carry")
+        return near.select("session", "_chunk", "_carry")
     # in the first segment the run reaches back to the start of the part
     reaches = F.col("_segment") == 1
-    parts = near.groupBy(session, F.col("_part").alias("_chunk")).agg(
+    parts = near.groupBy("session", F.col("_part").alias("_chunk")).agg(
         F.min_by(F.struct("_first"), "_chunk").alias("_f"),
         F.max_by(F.struct(
             "_last", (F.col("_tail") + F.when(F.col("_solid"), F.col("_carry")).otherwise(0)).alias("_tail"),
             (F.col("_solid") & reaches).alias("_solid")), "_chunk").alias("_e"),
-    ).select(session, "_chunk", "_f._first", "_e._last", "_e._tail", "_e._solid")
-    far = _carry_run(parts, session, top=True).toDF(session, "_part", "_far")
-    return _join_chunks(near, far, [session, "_part"]).select(
-        session, "_chunk", (F.col("_carry") + F.when(reaches, F.col("_far")).otherwise(0)).alias("_carry")
+    ).select("session", "_chunk", "_f._first", "_e._last", "_e._tail", "_e._solid")
+    far = _carry_run(parts, top=True).toDF("session", "_part", "_far")
+    return _join_chunks(near, far, ["session", "_part"]).select(
+        "session", "_chunk", (F.col("_carry") + F.when(reaches, F.col("_far")).otherwise(0)).alias("_carry")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from postloom.functions.text import is_missing
 from postloom.operators import gates
 from postloom.operators.chunks import Infer, summarize
 from postloom.operators.dedup import drop_seen, greedy_arrivals
-from postloom.operators.matching import blank_stale, match_details
+from postloom.operators.matching import blank_marked, match_details, remembered, stale_marks, text_digest
 from postloom.schema import ARRIVAL, MISSING_TEXT
 from postloom.scratch import Scratch
 from postloom.sources.pages import extract_postings
@@ -57,55 +59,92 @@ def capture(pages: DataFrame, details: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
-def screen(candidates: DataFrame, cfg: Config) -> DataFrame:
+def _gated(candidates: DataFrame, cfg: Config) -> DataFrame:
+    """Add ``tier`` and ``missing``, the answers of the gates that look at no description."""
+    df = gates.page_limit(candidates, cfg) if "page_num" in candidates.columns else candidates
+    return df.withColumn("tier", gates.title_tier(F.coalesce("title", F.lit("")), cfg)).withColumn(
+        "missing", gates.missing_field(cfg, F.col("layout"))
+    )
+
+
+def stale_rows(candidates: DataFrame, cfg: Config, memory: DataFrame | None = None) -> DataFrame:
+    """``(layout, arrival, session, digest, stale)`` of the candidates that pass the field and title gates.
+
+    ``memory(layout, session, digest, stale)`` is what earlier candidates left behind.
+    """
+    shown = _gated(candidates, cfg).where(
+        F.col("missing").isNull() & F.col("tier").isin(gates.KEEP, gates.CHECK))
+    narrow = shown.select(
+        "layout", ARRIVAL, F.col("session").cast("string").alias("session"), text_digest("description").alias("digest"))
+    out = None
+    for layout in cfg.layouts:
+        known = memory.where(F.col("layout") == layout).drop("layout") if memory is not None else None
+        marks = stale_marks(narrow.where(F.col("layout") == layout).drop("layout"), layout, known)
+        marks = marks.select(F.lit(layout).alias("layout"), *marks.columns)
+        out = marks if out is None else out.unionByName(marks)
+    return out
+
+
+def next_memory(marks: DataFrame, cfg: Config, memory: DataFrame | None = None) -> DataFrame:
+    """The memory after the candidates that ``stale_rows`` marked."""
+    out = None
+    for layout in cfg.layouts:
+        here = F.col("layout") == layout
+        known = memory.where(here).drop("layout") if memory is not None else None
+        left = remembered(marks.where(here), layout, known)
+        left = left.select(F.lit(layout).alias("layout"), *left.columns)
+        out = left if out is None else out.unionByName(left)
+    return out
+
+
+def screen(candidates: DataFrame, cfg: Config, marks: DataFrame | None = None) -> DataFrame:
     """Add ``tier``, ``missing`` and ``passes`` to the candidates.
 
     With a ``session`` column, stale descriptions are blanked first, among
-    the rows that pass the field and title gates.
+    the rows that pass the field and title gates; ``marks`` tells which, if that is known already.
     """
-    df = gates.page_limit(candidates, cfg) if "page_num" in candidates.columns else candidates
-    df = df.withColumn("tier", gates.title_tier(F.coalesce("title", F.lit("")), cfg)).withColumn(
-        "missing", gates.missing_field(cfg, F.col("layout"))
-    )
+    df = _gated(candidates, cfg)
     if "session" in df.columns:
         shown = F.col("missing").isNull() & F.col("tier").isin(gates.KEEP, gates.CHECK)
-        known = F.coalesce(F.col("layout").isin(*cfg.layouts), F.lit(False))
-        parts = [df.where(~(shown & known))]
-        for layout in cfg.layouts:
-            here = df.where(shown & (F.col("layout") == layout))
-            parts.append(blank_stale(here, "session", layout))
-        df = parts[0]
-        for part in parts[1:]:
-            df = df.unionByName(part)
+        known = F.coalesce(shown & F.col("layout").isin(*cfg.layouts), F.lit(False))
+        marks = stale_rows(candidates, cfg) if marks is None else marks
+        df = blank_marked(df.where(known), marks).unionByName(df.where(~known))
     return df.withColumn(
         "passes",
         F.col("missing").isNull() & gates.accept(F.col("tier"), F.col("description"), cfg),
     )
 
 
-def _verdicts(candidates: DataFrame, cfg: Config, scratch: Scratch) -> DataFrame:
+def _marked(candidates: DataFrame, cfg: Config, scratch: Scratch, memory: DataFrame | None = None) -> DataFrame | None:
+    """The written marks of the candidates, if they have sessions."""
+    return scratch.save(stale_rows(candidates, cfg, memory), "marks") if "session" in candidates.columns else None
+
+
+def _verdicts(candidates: DataFrame, cfg: Config, scratch: Scratch, marks: DataFrame | None) -> DataFrame:
     """What the gates say of each candidate, and its keys, without the wide text: written once, read by all later steps."""
-    return scratch.save(screen(candidates, cfg).select(
+    return scratch.save(screen(candidates, cfg, marks).select(
         ARRIVAL, "layout", "title", "url", "company", "tier", "missing", "passes"), "verdicts")
 
 
-def _kept(verdicts: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
+def _kept(verdicts: DataFrame, stored: DataFrame, max_rows: int | None) -> DataFrame:
     """Arrivals that a run saves: stored keys, first wins, cap."""
     keys = verdicts.where("passes").select(ARRIVAL, "title", "url", "company")
     kept = greedy_arrivals(drop_seen(keys, stored))
-    return kept if cfg.max_rows is None else gates.cap(kept, cfg.max_rows)
+    return kept if max_rows is None else gates.cap(kept, max_rows)
 
 
-def accepted(candidates: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
+def accepted(candidates: DataFrame, stored: DataFrame, cfg: Config, marks: DataFrame | None = None) -> DataFrame:
     """The candidates a run saves: gates, stored keys, first wins, cap.
 
     Keys decide, so only they go through the joins and rounds; the wide rows
     are picked by their arrival number at the end.
     """
     scratch = Scratch(candidates.sparkSession, "accepted")
-    kept = scratch.save(_kept(_verdicts(candidates, cfg, scratch), stored, cfg).select(ARRIVAL), "kept")
+    marks = _marked(candidates, cfg, scratch) if marks is None else marks
+    verdicts = _verdicts(candidates, cfg, scratch, marks)
+    kept = scratch.save(_kept(verdicts, stored, cfg.max_rows).select(ARRIVAL), "kept")
     # stale descriptions are blanked again on the way out
-    shown = screen(candidates, cfg) if "session" in candidates.columns else candidates
+    shown = screen(candidates, cfg, marks) if marks is not None else candidates
     return shown.join(kept, ARRIVAL, "left_semi").select(*candidates.columns)
 
 
@@ -125,9 +164,10 @@ def decide(candidates: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
     holds it. Rows after the cap was reached were never looked at.
     """
     scratch = Scratch(candidates.sparkSession, "decide")
-    verdicts = _verdicts(candidates, cfg, scratch)
+    marks = _marked(candidates, cfg, scratch)
+    verdicts = _verdicts(candidates, cfg, scratch, marks)
     kept = verdicts.join(
-        scratch.save(_kept(verdicts, stored, cfg).select(ARRIVAL), "kept"), ARRIVAL, "left_semi")
+        scratch.save(_kept(verdicts, stored, cfg.max_rows).select(ARRIVAL), "kept"), ARRIVAL, "left_semi")
     own = F.concat(F.lit("\0"), F.col(ARRIVAL))
     by_url = _first_holder(
         seen_urls(stored).withColumnRenamed("url_key", "key"), kept, url_key(F.col("url")), "url_at"
@@ -174,7 +214,7 @@ def decide(candidates: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
         .otherwise("kept")
     )
     found = df.select(ARRIVAL, "tier", reason.alias("reason"))
-    shown = screen(candidates, cfg).drop("tier") if "session" in candidates.columns else candidates
+    shown = screen(candidates, cfg, marks).drop("tier") if marks is not None else candidates
     others = [c for c in candidates.columns if c not in ("tier", "reason")]
     return shown.select(*others).join(found, ARRIVAL).select(*others, "tier", "reason")
 
@@ -187,3 +227,26 @@ def ingest(store: PostingStore, candidates: DataFrame, cfg: Config, batch: int |
     if infer is not None:
         new = summarize(new, infer)
     return store.append(new, batch, writer)
+
+
+def ingest_part(store: PostingStore, candidates: DataFrame, cfg: Config, batch: int, infer: Infer | None = None,
+                writer: str = DEFAULT_WRITER) -> None:
+    """Append one part of a run that comes in several: the parts together accept what the whole run would.
+
+    What the run has to know of its earlier parts is kept beside the batches, under the same
+    writer and number: the last description of each session, and how many rows were admitted. Only
+    notes of smaller numbers are read, so a part that is repeated decides as before.
+    """
+    memory, scratch = store.memory(batch, writer), Scratch(candidates.sparkSession, "part")
+    before = store.admitted(batch, writer) if cfg.max_rows is not None else 0
+    if cfg.max_rows is not None:
+        cfg = replace(cfg, max_rows=max(0, cfg.max_rows - before))
+    marks = _marked(candidates, cfg, scratch, memory)
+    new = accepted(candidates, store.read(before_batch=batch, writer=writer), cfg, marks)
+    if infer is not None:
+        new = summarize(new, infer)
+    store.append(new, batch, writer)
+    if marks is not None:
+        store.remember(next_memory(marks, cfg, memory), marks, batch, writer)
+    if cfg.max_rows is not None:
+        store.note_admitted(before + store.rows_of(batch, writer), batch, writer)

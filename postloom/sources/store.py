@@ -22,6 +22,12 @@ _READ_SCHEMA = T.StructType(
     [*STORED.fields, T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())])
 #: The writer of appends that name none.
 DEFAULT_WRITER = "batch"
+#: Last description of a session: its digest, and whether it was blanked.
+MEMORY = T.StructType([
+    T.StructField("layout", T.StringType()), T.StructField("session", T.StringType()),
+    T.StructField("digest", T.BinaryType()), T.StructField("stale", T.BooleanType())])
+#: Every so many batches the memory is written whole; the batches between hold the sessions they met.
+WHOLE_MEMORY = 16
 
 
 class PostingStore:
@@ -87,6 +93,53 @@ class PostingStore:
         )
         return batch
 
+    # -- notes beside the batches of a writer that ingests one run in parts ---------
+
+    def _notes(self, kind: str, writer: str) -> str:
+        return f"{self.root}/notes/{kind}/writer={writer}"
+
+    def _noted(self, kind: str, before_batch: int, writer: str) -> list[int]:
+        names = [n.split("=", 1)[1] for n in self._children(self._notes(kind, writer)) if n.startswith("batch=")]
+        return sorted(int(n) for n in names if int(n) < before_batch)
+
+    def remember(self, memory: DataFrame, met: DataFrame, batch: int, writer: str = DEFAULT_WRITER) -> None:
+        """Note what is known of each session after a batch: of those it ``met``, now and then of all."""
+        whole = batch % WHOLE_MEMORY == 0
+        if not whole:
+            memory = memory.join(met.select("layout", "session").distinct().withColumnsRenamed(
+                {"layout": "_layout", "session": "_session"}),
+                (F.col("layout") == F.col("_layout")) & F.col("session").eqNullSafe(F.col("_session")), "left_semi")
+        path = f"{self._notes('whole' if whole else 'met', writer)}/batch={batch}"
+        memory.select(*MEMORY.names).write.mode("overwrite").parquet(path)
+
+    def memory(self, before_batch: int, writer: str = DEFAULT_WRITER) -> DataFrame:
+        """``(layout, session, digest, stale)`` as the batches below ``before_batch`` left it."""
+        whole = self._noted("whole", before_batch, writer)[-1:]
+        later = [n for n in self._noted("met", before_batch, writer) if not whole or n > whole[0]]
+        paths = [f"{self._notes(kind, writer)}/batch={n}" for kind, found in (("whole", whole), ("met", later)) for n in found]
+        if not paths:
+            return self.spark.createDataFrame([], MEMORY)
+        notes = None
+        for path in paths:
+            part = self.spark.read.schema(MEMORY).parquet(path).withColumn(
+                "batch", F.lit(int(path.rsplit("=", 1)[1])).cast("long"))
+            notes = part if notes is None else notes.unionByName(part)
+        last = F.max_by(F.struct("digest", "stale"), "batch").alias("m")
+        return notes.groupBy("layout", "session").agg(last).select("layout", "session", "m.digest", "m.stale")
+
+    def rows_of(self, batch: int, writer: str = DEFAULT_WRITER) -> int:
+        return self.spark.read.schema(STORED).parquet(f"{self.current()}/writer={writer}/batch={batch}").count()
+
+    def note_admitted(self, total: int, batch: int, writer: str = DEFAULT_WRITER) -> None:
+        """Note how many rows a run has admitted up to and with a batch."""
+        self.spark.createDataFrame([(total,)], "total long").coalesce(1).write.mode("overwrite").parquet(
+            f"{self._notes('admitted', writer)}/batch={batch}")
+
+    def admitted(self, before_batch: int, writer: str = DEFAULT_WRITER) -> int:
+        """How many rows a run admitted in the batches below ``before_batch``."""
+        found = self._noted("admitted", before_batch, writer)
+        return self.spark.read.parquet(f"{self._notes('admitted', writer)}/batch={found[-1]}").first()[0] if found else 0
+
     def replace(self, clean: DataFrame) -> str:
         """Make ``clean`` the stored postings, as a new version."""
         version = self._version_path(max(self._versions(), default=0) + 1)

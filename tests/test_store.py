@@ -1,5 +1,7 @@
 """CSV reading, the store, verification, chunking, summaries, streaming."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -190,10 +192,64 @@ def test_writers_keep_each_others_rows(spark, tmp_path):
     assert clean_counts["removed"] == 1 and "batch" in store.writers()
 
 
-def test_stream_refuses_a_cap(spark, tmp_path):
-    stream = spark.readStream.schema("arrival long").parquet(str(tmp_path))
-    with pytest.raises(ValueError):
-        ingest_stream(stream, PostingStore(spark, str(tmp_path / "s")), Config(max_rows=5), str(tmp_path / "ck"))
+SESSIONS = CAND + ", session string"
+
+
+def session_rows(n, seed):
+    """Long runs of equal texts in few sessions, and rows that the title gate turns away between them."""
+    rng = random.Random(seed)
+    return [(i, rng.choice("ABB"), rng.choice(["Data Analyst", "Research Associate", "Research Associate", "Nurse"]) + f" {i}", f"https://u/{i}",
+             "c", rng.choice(["uses sql", "uses sql", "uses sql", "python", None, "paper"]), rng.choice(["s", "s", "t", None])) for i in range(n)]
+
+
+def in_parts(spark, df, borders, cfg, tmp_path, name):
+    """A store that took the rows as micro-batches that end before the given arrivals."""
+    store, src = PostingStore(spark, str(tmp_path / name)), str(tmp_path / f"{name}-in")
+    for lo, hi in zip([0, *borders], [*borders, 1 << 40]):
+        df.where((F.col("arrival") >= lo) & (F.col("arrival") < hi)).coalesce(1).write.mode("append").parquet(src)
+        ingest_stream(spark.readStream.schema(df.schema).parquet(src), store, cfg, str(tmp_path / f"{name}-ck")).awaitTermination()
+    return store
+
+
+def content(store):
+    return sorted((r.arrival, r.title, r.description) for r in store.read().collect())
+
+
+@pytest.mark.parametrize("cap", [None, 17])
+def test_sessions_and_cap_over_micro_batches(spark, tmp_path, monkeypatch, cap):
+    monkeypatch.setattr("postloom.sources.store.WHOLE_MEMORY", 2)
+    cfg = Config(max_rows=cap)
+    df = spark.createDataFrame(session_rows(70, 2), SESSIONS).select(
+        "*", *[F.lit("x").alias(c) for c in ("salary", "qualifications", "scraped_at")])
+    whole = PostingStore(spark, str(tmp_path / "whole"))
+    collect.ingest(whole, df, cfg)
+    want = content(whole)
+    assert len(want) == cap if cap else {"uses sql", None} < {d for _, _, d in want}
+    borders = [9, 10, 31, 55]
+    store = in_parts(spark, df, borders, cfg, tmp_path, "parts")
+    assert content(store) == want
+    (writer,) = store.writers()
+    assert store.batches(writer) == [0, 1, 2, 3, 4]
+    # a repeated part decides as before, and so do those after it
+    ends = [0, *borders, 70]
+    for k in (4, 2, 3):
+        part = df.where((F.col("arrival") >= ends[k]) & (F.col("arrival") < ends[k + 1]))
+        collect.ingest_part(store, part, cfg, k, writer=writer)
+        assert content(store) == want
+    if cap:
+        assert store.admitted(99, writer) == cap
+
+
+def test_memory_holds_digests_of_each_session(spark, tmp_path):
+    store = PostingStore(spark, str(tmp_path / "s"))
+    columns = "arrival long, layout string, title string, url string, company string, description string, session string"
+    text = "uses sql " * 10000
+    for k, texts in enumerate(([text], [text], [None])):
+        df = spark.createDataFrame([(k, "A", f"Data Analyst {k}", f"u{k}", "c", t, "s") for t in texts], columns)
+        collect.ingest_part(store, df.select("*", *[F.lit("x").alias(c) for c in ("salary", "qualifications", "scraped_at")]), CFG, k)
+    seen = [[(r.session, len(r.digest) if r.digest else None, r.stale) for r in store.memory(k).collect()] for k in range(4)]
+    assert seen == [[], [("s", 16, False)], [("s", 16, True)], [("s", None, False)]]
+    assert [r.description for r in store.read().orderBy("arrival").collect()] == [text.strip(), None, None]
 
 
 def test_ingest_with_summaries_and_cap(spark, tmp_path):
