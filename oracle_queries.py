@@ -262,24 +262,86 @@ counts AS (
   FROM (SELECT * FROM word_grams UNION ALL SELECT * FROM char_grams) GROUP BY ALL),
 dfs AS (SELECT block, gram, sum(n) AS df FROM counts GROUP BY ALL HAVING sum(n) >= 2),
 raw AS (
-  SELECT title_id, n, block, gram, tf, tf * (ln((1.0 + n_docs) / (1.0 + df)) + 1) AS w
+  SELECT title_id, n, block, gram, tf, df, tf * (ln((1.0 + n_docs) / (1.0 + df)) + 1) AS w
   FROM counts JOIN dfs USING (block, gram), total),
 weighted AS (
-  SELECT title_id, n, block, gram, tf, w / sqrt(sum(w * w) OVER (PARTITION BY title_id, block)) AS weight FROM raw),
+  SELECT title_id, n, block, gram, tf, df, w / sqrt(sum(w * w) OVER (PARTITION BY title_id, block)) AS weight FROM raw),
 united AS (
-  SELECT title_id, block || ':' || gram AS feature, tf,
+  SELECT title_id, n, block || ':' || gram AS feature, tf, df,
          weight / sqrt(sum(weight * weight) OVER (PARTITION BY title_id)) AS weight
   FROM weighted)"""
 
+# Pairs meet at rare features: behind the last common one of those, the product is at most that of what is left of both.
 PAIRS = GRAMS + """,
-prints AS (SELECT title_id, string_agg(feature || chr(1) || tf, chr(2) ORDER BY feature) AS print FROM united GROUP BY 1),
-profiles AS (SELECT min(title_id) AS title_id FROM prints GROUP BY print),
-vecs AS (SELECT u.* FROM united u JOIN profiles USING (title_id)),
-pairs AS (
-  SELECT x.title_id AS a, y.title_id AS b, sum(x.weight * y.weight) AS sim
-  FROM vecs x JOIN vecs y ON x.feature = y.feature AND x.title_id < y.title_id
+prints AS (SELECT title_id, any_value(n) AS n, string_agg(feature || chr(1) || tf, chr(2) ORDER BY feature) AS print FROM united GROUP BY 1),
+profiles AS (SELECT min(title_id) AS title_id, sum(n) AS n_rows FROM prints GROUP BY print),
+vecs AS MATERIALIZED (SELECT u.title_id, feature, df, weight FROM united u JOIN profiles USING (title_id)),
+placed AS (
+  SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY title_id ORDER BY df, feature
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS rest,
+    sqrt(coalesce(sum(weight * weight) OVER (PARTITION BY title_id ORDER BY df, feature
+             ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS behind
+  FROM vecs),
+rare AS MATERIALIZED (SELECT *, min(behind) OVER (PARTITION BY title_id) AS common FROM placed WHERE rest >= 0.5499),
+likely AS MATERIALIZED (
+  SELECT x.title_id AS a, y.title_id AS b FROM rare x JOIN rare y ON x.feature = y.feature AND x.title_id < y.title_id
+  GROUP BY 1, 2 HAVING sum(x.weight * y.weight)
+    + greatest(min(x.common) * min(y.behind), min(x.behind) * min(y.common)) >= 0.5499),
+pairs AS MATERIALIZED (
+  SELECT a, b, sum(x.weight * y.weight) AS sim
+  FROM likely JOIN vecs x ON x.title_id = a JOIN vecs y ON y.title_id = b AND x.feature = y.feature
   GROUP BY 1, 2 HAVING sum(x.weight * y.weight) >= 0.55)"""
 
+# the smallest node that reaches each one, handed on along edges from both ends
+SPREAD = """
+spread(node, low) AS (
+  SELECT DISTINCT a, a FROM edges
+  UNION SELECT e.a, min(s.low) FROM spread s JOIN edges e ON e.b = s.node GROUP BY e.a HAVING min(s.low) < e.a)"""
+
+# Average linkage of the pairs below the distance, component by component: in every round all pairs of clusters that are
+# the nearest of each other merge; clusters without a near one are finished. Rows are kept from both ends.
+LINKED = PAIRS + """,
+near AS MATERIALIZED (SELECT a, b FROM pairs WHERE 1.0 - round(sim, 12) < 0.45),
+edges AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+""" + SPREAD + """,
+homes AS MATERIALIZED (SELECT node, min(low) AS home FROM spread GROUP BY node),
+parts AS MATERIALIZED (SELECT home, title_id, feature, weight FROM vecs JOIN homes ON node = title_id),
+whole AS MATERIALIZED (
+  SELECT x.title_id AS a, y.title_id AS b, sum(x.weight * y.weight) AS sim
+  FROM parts x JOIN parts y ON x.home = y.home AND x.feature = y.feature AND x.title_id <> y.title_id GROUP BY 1, 2),
+step(round, a, b, na, nb, s) AS (
+  SELECT 0, a, b, CAST(x.n_rows AS DOUBLE), CAST(y.n_rows AS DOUBLE), sim * x.n_rows * y.n_rows
+  FROM whole JOIN profiles x ON x.title_id = a JOIN profiles y ON y.title_id = b
+  UNION ALL
+  SELECT round + 1, ra, rb, max(sa), max(sb), sum(s) FROM (
+    SELECT round, s, CASE WHEN pa > 0 THEN least(a, ma) ELSE a END AS ra, CASE WHEN pb > 0 THEN least(b, mb) ELSE b END AS rb,
+      na + pa AS sa, nb + pb AS sb
+    FROM (
+      SELECT *, max(CASE WHEN b = ma AND mb = a THEN nb ELSE 0 END) OVER (PARTITION BY a) AS pa,
+        max(CASE WHEN b = ma AND mb = a THEN na ELSE 0 END) OVER (PARTITION BY b) AS pb
+      FROM (
+        SELECT *, first_value(b) OVER (PARTITION BY a ORDER BY sim DESC, least(a, b), greatest(a, b)) AS ma,
+          first_value(a) OVER (PARTITION BY b ORDER BY sim DESC, least(a, b), greatest(a, b)) AS mb
+        FROM (
+          SELECT *, max(sim) OVER (PARTITION BY a) AS ta, max(sim) OVER (PARTITION BY b) AS tb
+          FROM (SELECT *, round(s / (na * nb), 12) AS sim FROM step))
+        WHERE 1.0 - ta < 0.45 AND 1.0 - tb < 0.45)))
+  WHERE ra <> rb GROUP BY round, ra, rb),
+rounds AS (
+  SELECT *, first_value(b) OVER (PARTITION BY round, a ORDER BY sim DESC, least(a, b), greatest(a, b)) AS ma,
+    first_value(a) OVER (PARTITION BY round, b ORDER BY sim DESC, least(a, b), greatest(a, b)) AS mb
+  FROM (SELECT *, round(s / (na * nb), 12) AS sim FROM step)),
+merged AS MATERIALIZED (SELECT a AS node, b AS parent FROM rounds WHERE b = ma AND a = mb AND b < a AND 1.0 - sim < 0.45),
+up(node, root) AS (SELECT node, parent FROM merged UNION ALL SELECT up.node, m.parent FROM up JOIN merged m ON m.node = up.root),
+tops AS (SELECT node, min(root) AS cluster FROM up GROUP BY node),
+member AS (
+  SELECT p.title_id, q.title_id AS profile FROM prints p
+  JOIN (SELECT print, min(title_id) AS title_id FROM prints GROUP BY print) q USING (print)),
+clustered AS (
+  SELECT arrival, title_norm AS title_updated, CASE WHEN coalesce(title_norm, '') = '' THEN arrival
+    ELSE coalesce(cluster, profile, title_id) END AS cluster_id
+  FROM normed LEFT JOIN docs ON docs.title = title_norm LEFT JOIN member USING (title_id) LEFT JOIN tops ON tops.node = profile)"""
+
 GIVEN = r"""
 given AS (
   SELECT doc_id AS arrival, regexp_extract(text, '^[^.,|\n]*') AS title,
@@ -442,10 +504,11 @@ SQL: dict[str, str] = {
     "tfidf_union": f"WITH {GRAMS} SELECT title_id, feature, round(weight, 6) AS weight FROM united",
     "similar_titles": f"WITH {PAIRS} SELECT a, b, round(sim, 6) AS sim FROM pairs",
     "title_components": f"""WITH RECURSIVE {PAIRS},
-      edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-      reach(node, other) AS (
-        SELECT a, a FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a)
-      SELECT node, min(other) AS component FROM reach GROUP BY 1""",
+      edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), {SPREAD}
+      SELECT node, min(low) AS component FROM spread GROUP BY node""",
+    "title_clusters": f"WITH RECURSIVE {LINKED} SELECT arrival, title_updated, cluster_id FROM clustered",
+    "title_cluster_sizes": f"""WITH RECURSIVE {LINKED} SELECT cluster_id, count(*) AS n FROM clustered
+      GROUP BY 1 ORDER BY n DESC, cluster_id LIMIT 25""",
     "cluster_sizes": f"WITH {GIVEN} SELECT cluster_id, n FROM sizes ORDER BY n DESC, cluster_id LIMIT 15",
     "cluster_top_titles": f"WITH {GIVEN} {_TOP_TITLES.format(rows='given')}",
     "outside_top": f"""WITH {GIVEN} SELECT count(*) AS rows_left, count(DISTINCT cluster_id) AS clusters_left
@@ -468,4 +531,5 @@ postings AS (
     FROM (SELECT doc_id, string_split_regex(text, '[.,|\n]') AS c FROM documents)))"""
 
 SQL |= {f"clause_{name}": SQL[name].replace(POSTINGS, CLAUSE_POSTINGS) for name in (
-    "role_counts", "tfidf_word", "tfidf_char", "tfidf_union", "similar_titles", "title_components")}
+    "role_counts", "tfidf_word", "tfidf_char", "tfidf_union", "similar_titles", "title_components",
+    "title_clusters", "title_cluster_sizes")}

@@ -103,6 +103,33 @@ def test_similar_pairs_brute_force(spark, seed, block, per_group, monkeypatch):
         assert all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("carried", [0.0, 0.7, 1.0])
+def test_candidates_by_partial_products(spark, carried, monkeypatch):
+    """No pair is missed wherever the sum ends, and few of those that share a rare feature are left."""
+    monkeypatch.setattr(similarity, "CARRIED", carried)
+    vectors, _, scratch = vectors_of(spark, random_titles(200, 7))
+    held = {r.id: dict(zip(r.fids, r.ws)) for r in vectors.collect()}
+    got = {tuple(r) for r in similarity.candidate_pairs(vectors, 0.55, scratch).collect()}
+    product = lambda a, b: sum(w * held[b].get(f, 0.0) for f, w in held[a].items())
+    want = {(a, b) for a in held for b in held if a < b and product(a, b) >= 0.55}
+    assert want <= got
+    if carried == 0.7:
+        entries = spark.read.parquet(f"{scratch.root}/entries").select("id", "fid")
+        other = entries.withColumnRenamed("id", "other")
+        shared = entries.join(other, "fid").where("id < other").select("id", "other").distinct().count()
+        assert len(got) < shared / 4
+
+
+def test_linkage_never_puts_a_vocabulary_into_one_row(spark):
+    """A cluster sum is as many rows as it has features, in the plan of the averages too."""
+    links = spark.createDataFrame([(1, 2, 1, 1)], "a long, b long, na long, nb long")
+    sums = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.5), (2, 7, 1.0)], "cluster long, fid long, s double")
+    out = clusters._averages(links, sums)
+    assert [tuple(r) for r in out.collect()] == [(1, 2, 1, 1, 0.5)]
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "MapInPandas" not in plan and "CartesianProduct" not in plan
+
+
 def test_identical_vectors_fold(spark):
     # a third of the rows differ by a unique token only, which is no feature
     rows = [f"analyst {1000 + 7919 * i}q" for i in range(40)] + random_titles(80, 3)
@@ -176,9 +203,11 @@ def test_linkage_random(spark, seed=1):
     assert all(k == min(g) for k, g in got.items())
 
 
-@pytest.mark.parametrize("small", [4, 256])
-def test_cluster_titles_brute_force(spark, small, monkeypatch):
-    monkeypatch.setattr(clusters, "SMALL", small)  # both ways, local only
+@pytest.mark.parametrize("small, rows, width", [(4, 10**6, 4096), (256, 10**6, 3), (256, 60, 4096)])
+def test_cluster_titles_brute_force(spark, small, rows, width, monkeypatch):
+    monkeypatch.setattr(clusters, "SMALL", small)  # both ways, local only, both ways by the number of features
+    monkeypatch.setattr(clusters, "LOCAL_ROWS", rows)
+    monkeypatch.setattr(clusters, "WIDTH", width)
     monkeypatch.setattr(clusters, "BATCH", 5)
     words = "data analytics analyst engineer engineering scientist platform cloud risk security systems network".split()
     rng = random.Random(11)
