@@ -4,8 +4,11 @@ Writing. Every capture is an HTTP response in chunked transfer framing. A block
 longer than ``SEGMENT_BYTES`` is cut into segments: the first record has the
 type and number 1, the others are ``continuation`` records that name the first
 by ``WARC-Segment-Origin-ID``, and the last gives the total length. Of captures
-with one payload of at least ``MIN_REVISIT`` bytes, that of the largest id is
-stored and the others are ``revisit`` records that refer to it.
+with one payload of at least ``MIN_REVISIT`` bytes, that of the largest id (then url) is
+stored and the others are ``revisit`` records that refer to it. Its record id comes from the
+digest of the payload, so all tasks know it; every other record has a random one.
+Rows that are wholly equal to the stored one are counted, and written again from the count: one of them
+is stored, though none can be told from another.
 Records end in two line ends, which is the record separator Spark's text
 writer adds, so files are committed by Spark and a lost task leaves none.
 
@@ -17,8 +20,9 @@ larger than one document. Revisits take length and digest from the record they
 refer to, which must have the digest they state.
 
 Input rules: null content is an empty payload; a null url leaves the target out;
-rows with equal id and content are one capture, returned once; other columns
-are ignored; an empty table gives an empty archive.
+every row is one capture, returned once, whatever ids, urls and contents repeat; null ids count as
+the smallest; characters that a target cannot hold are percent-encoded there and the url is
+kept beside it; other columns are ignored; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -26,15 +30,21 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import bounded_batches
+from postloom.llm.common import bounded_batches, shuffles
+from postloom.scratch import Scratch
 
 MIN_REVISIT = 1000
+#: What a capture is to others with its payload.
+STORED, ALONE, REVISIT = "stored", "alone", "revisit"
+#: Revisits made from one count in one piece.
+EQUAL_ROWS = 100_000
 SEGMENT_BYTES, CHUNK_BYTES = 32 << 10, 8 << 10
 RECORDS_PER_FILE = 1000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -77,19 +87,18 @@ def _target(url: str | None) -> str | None:
     return None if url is None else "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
 
 
-def _capture(page: int | None, digest: str) -> str:
-    return f"{page}:{digest}"
-
-
-def records(page: int | None, url: str | None, payload: bytes, refers: int | None, own: bool) -> Iterator[bytes]:
-    """The records of one capture; ``refers`` is the id of the stored one if not ``own``."""
-    digest = hashlib.sha1(payload).digest()
-    capture, about = _capture(page, digest.hex()), {
-        "WARC_Target_URI": _target(url), "X_Page_ID": page, "Content_Type": "application/http; msgtype=response",
-        "WARC_Payload_Digest": f"sha1:{base64.b32encode(digest).decode()}"}
-    if not own:
+def records(page: int | None, url: str | None, payload: bytes | None, sha1: str, refers: int | None, kind: str) -> Iterator[bytes]:
+    """The records of one capture: ``stored`` for others to refer to, ``alone``, or a ``revisit`` of the page ``refers``."""
+    target = _target(url)
+    same = url is None or target == url == url.strip()
+    about = {
+        "WARC_Target_URI": target, "X_Target": None if same else base64.b64encode(url.encode()).decode(), "X_Page_ID": page,
+        "Content_Type": "application/http; msgtype=response",
+        "WARC_Payload_Digest": f"sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}"}
+    capture = sha1 if kind == STORED else uuid.uuid4().hex
+    if kind == REVISIT:
         yield _record("revisit", record_id(capture), _HTTP, **about, WARC_Profile=_PROFILE, X_Refers_Page_ID=refers,
-                      WARC_Refers_To=record_id(_capture(refers, digest.hex())))
+                      WARC_Refers_To=record_id(sha1))
         return
     block = _HTTP + chunked(payload)
     parts = [block[i: i + SEGMENT_BYTES] for i in range(0, len(block), SEGMENT_BYTES)]
@@ -105,6 +114,21 @@ def records(page: int | None, url: str | None, payload: bytes, refers: int | Non
                           WARC_Segment_Origin_ID=record_id(capture), WARC_Segment_Total_Length=total)
 
 
+def _equal_rows(rows: DataFrame, top: DataFrame) -> DataFrame:
+    """Of rows that are equal to the stored one of their payload, one to store and the others as revisits, by their count."""
+    about = [F.col("top.page").alias("page"), F.col("top.url").alias("url")]
+    refers = F.col("top.page").alias("refers")
+    stored = rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.first("top").alias("top")).select(
+        *about, "payload", "digest", refers, F.lit(STORED).alias("kind"))
+    last = F.col("top.n") - 2
+    pieces = top.where("top.n > 1").select(
+        "digest", "top", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(EQUAL_ROWS).cast("long"))).alias("piece"))
+    ones = F.explode(F.sequence(F.col("piece"), F.least(F.col("piece") + F.lit(EQUAL_ROWS - 1).cast("long"), last)))
+    again = pieces.repartition(shuffles(rows.sparkSession), "digest", "piece").select("digest", "top", ones).select(
+        *about, F.lit(None).cast("binary").alias("payload"), "digest", refers, F.lit(REVISIT).alias("kind"))
+    return stored.unionByName(again)
+
+
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
           content_col: str = "html") -> None:
     """Write one capture per row to gzipped WARC files."""
@@ -113,11 +137,18 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(content_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    # the largest id of every payload: one short row per payload, combined before it is shuffled
-    kept = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(
-        F.max("page").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    ready = rows.join(kept, "digest", "left").select(
-        "page", "url", "payload", "kept", (F.col("kept").isNull() | F.col("page").eqNullSafe(F.col("kept"))).alias("own"))
+    # short rows, combined before they are shuffled: the largest of every payload, and how many rows equal it
+    top = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest", "page", "url").agg(
+        F.count(F.lit(1)).alias("n")).groupBy("digest").agg(
+        F.max(F.struct("page", "url", "n")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    top = Scratch(pages.sparkSession, "warc-payloads").save(top, "top")
+    found = rows.join(top, "digest", "left")
+    is_top = F.col("page").eqNullSafe(F.col("top.page")) & F.col("url").eqNullSafe(F.col("top.url"))
+    twin = F.col("top").isNotNull() & is_top & (F.col("top.n") > 1)
+    kind = F.when(F.col("top").isNull(), ALONE).when(is_top, STORED).otherwise(REVISIT)
+    ready = found.where(~twin).select("page", "url", "payload", "digest", F.col("top.page").alias("refers"), kind.alias("kind"))
+    if not top.where("top.n > 1").isEmpty():
+        ready = ready.unionByName(_equal_rows(found.where(twin), top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +182,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 _FIELDS = {
     "record": "warc-record-id", "kind": "warc-type", "origin": "warc-segment-origin-id", "url": "warc-target-uri",
-    "digest": "warc-payload-digest", "refers_to": "warc-refers-to", "page": "x-page-id", "refers_page": "x-refers-page-id",
+    "written": "x-target", "digest": "warc-payload-digest", "refers_to": "warc-refers-to", "page": "x-page-id", "refers_page": "x-refers-page-id",
     "number": "warc-segment-number", "total": "warc-segment-total-length",
 }
 _NUMBERS = ("page", "refers_page", "number", "total")
@@ -172,7 +203,8 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                     [*columns, pa.array([b for _, b in found], pa.binary())], [*_FIELDS, "block"])
 
     schema = ", ".join(f"{n} {'long' if n in _NUMBERS else 'string'}" for n in _FIELDS) + ", block binary"
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, schema)
+    rows = spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, schema)
+    return rows.withColumn("url", F.coalesce(F.unbase64("written").cast("string"), "url")).drop("written")
 
 
 def _decoded(block: bytes, digest: str | None) -> tuple[bytes | None, str | None]:
@@ -227,11 +259,11 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
     """``page, url, bytes, sha1, kind, refers_page, problem`` of every capture, revisits resolved."""
     rows = read(spark, folder).select(
         "record", "kind", "page", "url", "refers_to", "refers_page", "digest", "problem",
-        F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1")).distinct()
+        F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"))
     stored = rows.where("kind = 'response'").drop("refers_to", "refers_page")
     targets = stored.select(
         F.col("record").alias("refers_to"), F.col("digest").alias("t_digest"), F.col("bytes").alias("t_bytes"),
-        F.col("sha1").alias("t_sha1"))
+        F.col("sha1").alias("t_sha1")).dropDuplicates(["refers_to"])
     wrong = F.col("t_digest").isNull() | (F.col("t_digest") != F.col("digest"))
     seen = rows.where("kind = 'revisit'").join(targets, "refers_to", "left").select(
         "page", "url", F.col("t_bytes").alias("bytes"), F.col("t_sha1").alias("sha1"), "kind", "refers_page",

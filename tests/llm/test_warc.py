@@ -3,7 +3,7 @@ import hashlib
 
 import pytest
 
-from postloom.llm import warc
+from postloom.llm import queries, warc
 from postloom.scratch import Scratch
 
 BIG = "<p>é漢\r\n\r\nWARC/1.1\r\n</p>" * 4000
@@ -24,7 +24,7 @@ def test_pages_come_back(spark):
     folder = Scratch(spark, "warc").root
     warc.write(pages.unionByName(pages.limit(2)), folder)
     got = warc.captures(spark, folder).collect()
-    assert {(r.page, r.bytes, r.sha1, r.kind, r.refers_page) for r in got} == brute(PAGES) and len(got) == len(PAGES)
+    assert {(r.page, r.bytes, r.sha1, r.kind, r.refers_page) for r in got} == brute(PAGES) and len(got) == len(PAGES) + 2
     assert all(r.problem is None for r in got)
     kinds = {r.kind for r in warc.read_records(spark, folder).collect()}
     assert kinds == {"response", "revisit", "continuation"}
@@ -32,6 +32,30 @@ def test_pages_come_back(spark):
     assert bytes(whole[8]) == BIG.encode()
 
 
+def test_every_row_is_one_capture(spark, tmp_path, monkeypatch):
+    """Repeated, null and clashing ids, urls and contents, through the registered query."""
+    monkeypatch.setattr(warc, "EQUAL_ROWS", 4)
+    one, two = "p" * 1500, "q" * 40000
+    rows = [(1, "a", one), (1, "b", one), (0, "c", one), (None, "n", one), (7, "d", "s"), (7, "d", "s"), (None, None, None),
+            *[(3, "z", two)] * 11, (3, None, two), (2, "z", two), *[(None, "x", "r" * 1000)] * 3, (5, "\u00a0h ttp://x%20y\n\u00a0", "t" * 2000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op5_warc(spark, str(tmp_path)).collect()
+    assert all(r.problem is None for r in got)
+    best = {}
+    for page, url, html in rows:
+        best[html] = max(best.get(html, (-1, "")), (-1 if page is None else page, url or ""))
+    want, stored = [], set()
+    for page, url, html in sorted(rows, key=str):
+        data = (html or "").encode()
+        own = len(data) < 1000 or (html not in stored and best[html] == (-1 if page is None else page, url or ""))
+        if own:
+            stored.add(html)
+        top = None if own or best[html][0] < 0 else best[html][0]
+        want.append((page, url, len(data), hashlib.sha1(data).hexdigest(), "response" if own else "revisit", top))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_empty_table(spark):
     folder = Scratch(spark, "warc").root
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
@@ -40,7 +64,7 @@ def test_empty_table(spark):
 
 @pytest.mark.parametrize("lose,problem", [(0, "first segment missing"), (1, "segment missing or doubled"), (-1, "last segment missing")])
 def test_lost_segments_are_reported(spark, lose, problem):
-    made = list(warc.records(1, "u", BIG.encode(), None, True))
+    made = list(warc.records(1, "u", BIG.encode(), hashlib.sha1(BIG.encode()).hexdigest(), None, warc.ALONE))
     made.pop(lose)
     folder = Scratch(spark, "warc").root
     spark.createDataFrame([(bytearray(m),) for m in reversed(made)], "r binary").selectExpr("CAST(r AS STRING) AS value").write.option(
