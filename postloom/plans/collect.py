@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from postloom.sources.pages import extract_postings
 from postloom.sources.postings import seen_signatures, seen_urls
 from postloom.sources.store import DEFAULT_WRITER, PostingStore
 
+#: Stored postings, or what finds the stored ones among the keys of others.
+Stored = DataFrame | Callable[[DataFrame], DataFrame]
 #: Cards of one result page and result pages, at most (powers of two).
 PAGE_BITS, NUMBER_BITS = 20, 42
 
@@ -126,16 +130,19 @@ def _verdicts(candidates: DataFrame, cfg: Config, scratch: Scratch, marks: DataF
         ARRIVAL, "layout", "title", "url", "company", "tier", "missing", "passes"), "verdicts")
 
 
-def _kept(verdicts: DataFrame, stored: DataFrame, max_rows: int | None) -> DataFrame:
+def _kept(verdicts: DataFrame, stored: Stored, max_rows: int | None) -> DataFrame:
     """Arrivals that a run saves: stored keys, first wins, cap."""
     keys = verdicts.where("passes").select(ARRIVAL, "title", "url", "company")
+    stored = stored(keys) if callable(stored) else stored
     kept = greedy_arrivals(drop_seen(keys, stored))
     return kept if max_rows is None else gates.cap(kept, max_rows)
 
 
-def accepted(candidates: DataFrame, stored: DataFrame, cfg: Config, marks: DataFrame | None = None) -> DataFrame:
+def accepted(candidates: DataFrame, stored: Stored, cfg: Config, marks: DataFrame | None = None) -> DataFrame:
     """The candidates a run saves: gates, stored keys, first wins, cap.
 
+    ``stored`` are the stored postings, or a function that finds those of the keys of given postings that are stored.
+
     Keys decide, so only they go through the joins and rounds; the wide rows
     are picked by their arrival number at the end.
     """
@@ -223,7 +230,7 @@ def ingest(store: PostingStore, candidates: DataFrame, cfg: Config, batch: int |
            infer: Infer | None = None, writer: str = DEFAULT_WRITER) -> int:
     """Append what a run accepts. Repeating a batch number adds nothing new:
     all rows but the writer's own from that number on count as stored, and the batch replaces itself."""
-    new = accepted(candidates, store.read(before_batch=batch, writer=writer), cfg)
+    new = accepted(candidates, partial(store.met, before_batch=batch, writer=writer), cfg)
     if infer is not None:
         new = summarize(new, infer)
     return store.append(new, batch, writer)
@@ -242,7 +249,7 @@ def ingest_part(store: PostingStore, candidates: DataFrame, cfg: Config, batch:
     if cfg.max_rows is not None:
         cfg = replace(cfg, max_rows=max(0, cfg.max_rows - before))
     marks = _marked(candidates, cfg, scratch, memory)
-    new = accepted(candidates, store.read(before_batch=batch, writer=writer), cfg, marks)
+    new = accepted(candidates, partial(store.met, before_batch=batch, writer=writer), cfg, marks)
     if infer is not None:
         new = summarize(new, infer)
     store.append(new, batch, writer)

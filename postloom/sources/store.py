@@ -5,7 +5,8 @@ batches: an append writes that writer's batch folder, so a repeated batch
 replaces itself and nothing else. A replace writes the next version
 and leaves the old one whole; the newest version whose write finished is
 current. Spark cannot overwrite a table it is reading, so nothing is
-overwritten in place.
+overwritten in place. ``<root>/index`` holds the keys of every batch (``key_index``), so that an
+ingest does not read what is stored.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postloom.schema import ARRIVAL, OUTPUT_COLUMNS, STORED
+from postloom.scratch import Scratch
+from postloom.sources import key_index
 from postloom.sources.postings import conform, sink_text, unsink_text
 
 _PLACE = ("writer", "batch")
@@ -47,6 +50,9 @@ class PostingStore:
         fs, p = self._fs(), self._path(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def _delete(self, path: str) -> None:
+        self._fs().delete(self._path(path), True)
+
     def _versions(self) -> list[int]:
         names = [n for n in self._children(self.root) if n.startswith("v") and n[1:].isdigit()]
         fs = self._fs()
@@ -88,11 +94,37 @@ class PostingStore:
         """Add postings as one batch of a writer; the same number replaces itself."""
         if batch is None:
             batch = max(self.batches(writer), default=-1) + 1
+        # the old keys go first: a batch without an index is indexed when somebody asks for it
+        self._delete(self._index(writer, batch))
         sink_text(conform(df, [ARRIVAL, *OUTPUT_COLUMNS])).write.mode("overwrite").parquet(
             f"{self.current()}/writer={writer}/batch={batch}"
         )
+        self._indexed(writer, batch)
         return batch
 
+    # -- keys ----------------------------------------------------------------
+
+    def _index(self, writer: str, batch: int) -> str:
+        return f"{self.root}/index/{self.current().rsplit('/', 1)[1]}/writer={writer}/batch={batch}"
+
+    def _indexed(self, writer: str, batch: int) -> str:
+        """The folder of a batch's key index, written now if it is not there."""
+        folder = self._index(writer, batch)
+        if not self._fs().exists(self._path(f"{folder}/filters/_SUCCESS")):
+            stored = self.spark.read.schema(STORED).parquet(f"{self.current()}/writer={writer}/batch={batch}")
+            key_index.write(unsink_text(stored), folder)
+        return folder
+
+    def met(self, new: DataFrame, before_batch: int | None = None, writer: str = DEFAULT_WRITER) -> DataFrame:
+        """Of the keys of ``new`` postings, those that are stored, as rows ``(url, title, company)``.
+
+        Looks into the key index only; ``before_batch`` is that of ``read``.
+        """
+        folders = [
+            self._indexed(w, b) for w in self.writers() for b in self.batches(w)
+            if before_batch is None or w != writer or b < before_batch]
+        return key_index.met_keys(new, folders, Scratch(self.spark, "met"))
+
     # -- notes beside the batches of a writer that ingests one run in parts ---------
 
     def _notes(self, kind: str, writer: str) -> str:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from postloom.operators import chunks, liveness
 from postloom.plans import clean, collect
 from postloom.schema import OUTPUT_COLUMNS
 from postloom.scratch import shared_dir
-from postloom.sources import postings
+from postloom.sources import key_index, postings
 from postloom.sources.store import PostingStore
 from postloom.streaming.ingest import ingest_stream
 
@@ -192,6 +193,41 @@ def test_writers_keep_each_others_rows(spark, tmp_path):
     assert clean_counts["removed"] == 1 and "batch" in store.writers()
 
 
+def test_ingest_reads_met_buckets_only(spark, tmp_path, monkeypatch):
+    """No stored posting is read, and of the key files those with a filter that may hold a new key."""
+    extra = [F.lit("x").alias(c) for c in ("salary", "qualifications", "scraped_at")]
+    rows = [(i, "A", f"Data Analyst {i}", f"https://u/{i}", "c", "sql" * 50) for i in range(3000)]
+    df = spark.createDataFrame(rows, CAND).select("*", *extra)
+    store = PostingStore(spark, str(tmp_path / "s"))
+    for k in range(2):
+        store.append(df.where(F.col("arrival") % 2 == k), k)
+    new = [(5000, "A", "Data Analyst 7", "https://new/1", "c ", "sql"), (5001, "A", "Data Analyst 9000", "https://u/8", "c", "sql"),
+           *[(5002 + i, "A", f"Data Analyst {8000 + i}", f"https://new/{8000 + i}", "c", "sql") for i in range(28)]]
+    new = spark.createDataFrame(new, CAND).select("*", *extra)
+    asked, paths = [], key_index.met_buckets
+    monkeypatch.setattr(key_index, "met_buckets", lambda *a: asked.append(paths(*a)) or asked[-1])
+    monkeypatch.setattr(store, "read", None)
+    met = store.met(new)
+    assert sorted((r.url or "", r.title or "") for r in met.collect()) == [("", "data analyst 7"), ("https://u/8", "")]
+    assert 2 <= len(asked[0]) <= 4 and all("/index/" in p for p in asked[0])
+    files = [f for f in met.inputFiles() if "/index/" in f]
+    assert len(files) == len(asked[0]) < len(list((tmp_path / "s" / "index").rglob("keys/*/part-*"))) / 20
+    collect.ingest(store, new, CFG)
+    monkeypatch.undo()
+    assert store.read().count() == 3028
+    # a batch without an index, as after a clean, is indexed when it is asked for
+    store.replace(store.read().where("arrival < 10"))
+    collect.ingest(store, new, CFG)
+    assert store.read().count() == 38
+
+
+def test_key_filters():
+    r = np.random.default_rng(1)
+    h, g = r.integers(-(1 << 63), (1 << 63) - 1, (2, 5000))
+    bits = key_index._filter(h[:500], g[:500])
+    assert key_index.may_hold(bits, h[:500], g[:500]).all() and key_index.may_hold(bits, h[500:], g[500:]).sum() < 5
+
+
 SESSIONS = CAND + ", session string"
 
 
