@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Sequence
 from urllib.parse import unquote
@@ -13,6 +15,8 @@ from postloom.config import CSV_NULLS
 from postloom.functions.fields import ingest_sig, url_key
 from postloom.functions.text import is_missing
 from postloom.schema import ARRIVAL, MISSING_TEXT, OUTPUT_COLUMNS
+from postloom.scratch import Scratch
+from postloom.sources import csv_records
 
 #: Local files are listed as file:/x and scanned as file:///x.
 SCHEME = ("^file:/+", "")
@@ -24,15 +28,17 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     Every file is read by the names of its own header, so files may differ in the
     order and choice of columns. The reader takes one null marker only, so the
     whole list is applied per column. Absent columns become null; extra columns
-    stay. ``arrival`` numbers the rows by file name and position. A multi-line
-    file is not split, so convert large CSV input to Parquet once.
+    stay. ``arrival`` numbers the rows by file name and position. Large files are
+    cut into records by many tasks (``csv_records``).
     """
     # the driver lists the files to plan the scan anyway
     listed = sorted(spark.read.text(path).inputFiles(), key=_plain_path)
+    steps = Scratch(spark, "csv-steps").save(csv_records.steps(spark, path), "steps")
+    by_path = {_plain_path(f): f for f in listed}
     groups: dict[str, list[str]] = {}
-    for header, file in _headers(spark, path, listed):
-        groups.setdefault(header, []).append(file)
-    parts = [_read_files(spark, files) for files in groups.values()]
+    for file, header in sorted(csv_records.headers(steps), key=lambda x: _plain_path(x[0])):
+        groups.setdefault(header.replace("\r\n", "\n").removesuffix("\r").removeprefix("\ufeff"), []).append(by_path[_plain_path(file)])
+    parts = [_read_files(spark, files, header, steps) for header, files in groups.items()]
     raw = parts[0] if parts else spark.createDataFrame([], "_file string, _row long")
     for part in parts[1:]:
         raw = raw.unionByName(part, allowMissingColumns=True)
@@ -48,30 +54,20 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _headers(spark: SparkSession, path: str, listed: list[str]) -> list[tuple[str, str]]:
-    """The first line of each file that has one."""
-    first = (
-        spark.read.text(path).where("_metadata.file_block_start = 0")
-        .select(F.regexp_replace("_metadata.file_path", *SCHEME).alias("file"), "value",
-                F.monotonically_increasing_id().alias("row"))
-        .groupBy("file").agg(F.min_by("value", "row").alias("header"))
-    )
-    by_path = {_plain_path(f): f for f in listed}
-    return sorted((r.header, by_path[r.file]) for r in first.collect() if r.file in by_path)
-
-
-def _read_files(spark: SparkSession, files: list[str]) -> DataFrame:
+def _read_files(spark: SparkSession, files: list[str], header: str, steps: DataFrame) -> DataFrame:
     """Files of one header, with the file and the place of each row in it."""
-    raw = (
-        spark.read.option("header", True).option("multiLine", True)
-        .option("escape", '"').option("encoding", "UTF-8").csv([unquote(f) for f in files])
-    )
-    # One reader task sees a whole file in order: the low 33 bits of the
-    # generated id grow along it.
-    return raw.select(
-        "*", F.regexp_replace("_metadata.file_path", *SCHEME).alias("_file"),
-        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row"),
-    )
+    names = next(csv.reader(io.StringIO(header, newline="")))
+    twice = {n for n in names if names.count(n) > 1}
+    names = [f"_c{k}" if not n else f"{n}{k}" if n in twice else n for k, n in enumerate(names)]
+    found = csv_records.records(spark, [unquote(f) for f in files], steps).where("row > 0")
+    parsed = F.from_csv("record", _ddl(names), {"escape": '"', "maxCharsPerColumn": "-1"})
+    return found.select(
+        parsed.alias("_fields"), F.regexp_replace("file", *SCHEME).alias("_file"), (F.col("row") - 1).alias("_row")
+    ).select(*[F.col("_fields").getField(n).alias(n) for n in names], "_file", "_row")
+
+
+def _ddl(names: Sequence[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
 
 
 def _plain_path(uri: str) -> str:

@@ -7,12 +7,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.config import CHUNK_PROMPT, FINAL_PROMPT, Config
+from postloom.config import CHUNK_PROMPT, CSV_NULLS, FINAL_PROMPT, Config
 from postloom.operators import chunks, liveness
 from postloom.plans import clean, collect
 from postloom.schema import OUTPUT_COLUMNS
 from postloom.scratch import shared_dir
-from postloom.sources import key_index, postings
+from postloom.sources import csv_records, key_index, postings
 from postloom.sources.store import PostingStore
 from postloom.streaming.ingest import ingest_stream
 
@@ -193,6 +193,33 @@ def test_writers_keep_each_others_rows(spark, tmp_path):
     assert clean_counts["removed"] == 1 and "batch" in store.writers()
 
 
+HARD_CSV = ["plain,x", '"q",y', '"two\nlines",z', '"a ""quoted"" word",""', ',', '" ""\n\n"" ,\n,",w', "5\" pipe,it's", '"" ,v', "", '"\r\n","\r"',
+            '"ends with """,k', ' "not quoted", s', '"""",one quote', '"x"', '"éß\n漢",u', "N/A,null"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_is_split_inside_quoted_fields(spark, tmp_path, end):
+    """Any border of ranges, inside quotes, between them or in a line end, gives the rows of the reader that does not split."""
+    rng = random.Random(6)
+    lines = ["title,url"] + [rng.choice(HARD_CSV) for _ in range(400)]
+    (tmp_path / "one.csv").write_bytes((end.join(lines) + end).encode())
+    (tmp_path / "two.csv").write_bytes(end.join(['"u\nrl",title', "a,b", '"c\nd",e']).encode())
+    plain = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "one.csv")).collect()
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for width in ("300", "1777", size):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+            steps = csv_records.steps(spark, str(tmp_path / "one.csv"))
+            assert width == size or steps.count() > 2
+            got = postings.read_postings(spark, str(tmp_path)).orderBy("arrival").collect()
+            none = lambda x: None if x in CSV_NULLS else x
+            assert [(r.title, r.url) for r in got[:-2]] == [(none(r[0]), none(r[1])) for r in plain]
+            assert [(r["u\nrl"], r.title) for r in got[-2:]] == [("a", "b"), ("c\nd", "e")]
+            assert [r.arrival for r in got] == [*range(len(plain)), 1 << 33, (1 << 33) + 1]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_ingest_reads_met_buckets_only(spark, tmp_path, monkeypatch):
     """No stored posting is read, and of the key files those with a filter that may hold a new key."""
     extra = [F.lit("x").alias(c) for c in ("salary", "qualifications", "scraped_at")]
