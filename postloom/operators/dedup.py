@@ -12,6 +12,10 @@ from postloom.scratch import Scratch
 from postloom.sources.postings import stored_signatures, stored_urls
 
 
+#: Rounds of the greedy de-duplication before it follows chains.
+PLAIN_ROUNDS = 2
+
+
 def drop_seen(new: DataFrame, stored: DataFrame) -> DataFrame:
     """New postings whose URL and (title, company) key are not stored yet.
 
@@ -46,7 +50,8 @@ def greedy_arrivals(df: DataFrame) -> DataFrame:
     greedy matching in arrival order. An edge that comes first at both its
     ends is accepted; edges that share an end with an accepted one are
     dropped; repeat until no edge is left. Every round accepts at least the
-    first edge left, so this ends, and nothing is capped.
+    first edge left, so this ends, and nothing is capped. After ``PLAIN_ROUNDS`` rounds, which settle
+    nearly all rows, long chains of alternating keys are followed by pointer doubling.
 
     Later copies of the same (URL, key) pair can never be accepted, so only
     the first of each pair takes part: a key that holds a large part of the
@@ -64,12 +69,11 @@ def greedy_arrivals(df: DataFrame) -> DataFrame:
     while True:
         first_s = edges.groupBy("s").agg(F.min(F.struct("a", "u")).alias("f")).select("s", "f.a", "f.u")
         first_u = edges.where("u IS NOT NULL").groupBy("u").agg(F.min("a").alias("a"))
-        accepted = scratch.save(
-            first_s.where("u IS NULL").unionByName(
-                first_s.where("u IS NOT NULL").join(first_u, ["u", "a"], "left_semi")
-            ),
-            f"accepted-{n}",
-        )
+        accepted = first_s.where("u IS NULL").unionByName(
+            first_s.where("u IS NOT NULL").join(first_u, ["u", "a"], "left_semi")).select("s", "a", "u")
+        if n >= PLAIN_ROUNDS:
+            accepted = accepted.unionByName(_along_chains(edges, first_s, first_u, scratch, n))
+        accepted = scratch.save(accepted, f"accepted-{n}")
         # a row without a URL must not meet other such rows: give it its own key
         own = F.coalesce(F.col("u"), F.concat(F.lit("\0"), F.col("a")))
         rest = (
@@ -86,6 +90,39 @@ def greedy_arrivals(df: DataFrame) -> DataFrame:
     return scratch.load("accepted-*", accepted).select(F.col("a").alias(ARRIVAL))
 
 
+def _along_chains(edges: DataFrame, first_s: DataFrame, first_u: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """Accepted rows ``(s, a, u)`` that follow from a row first at both ends over a chain of single rivals.
+
+    A row that is second at one end and first at the other has one earlier rival: it is accepted if that one is
+    not. Pointers to the rival's rival and so on, doubled in every step, lead each such row to the
+    first one of its chain; an even number of steps from a row that is first at both ends means accepted.
+    """
+    # rows without a URL have keys of their own, so they do not meet
+    own = F.coalesce(F.col("u"), F.concat(F.lit("\0"), F.col("a")))
+    both = edges.withColumn("k", own).join(first_s.select("s", F.col("a").alias("s1")), "s").join(
+        first_u.select(F.col("u").alias("k"), F.col("a").alias("u1")), "k", "left").withColumn("u1", F.coalesce("u1", "a"))
+    both = scratch.save(both.select("s", "a", "u", "k", "s1", "u1"), f"firsts-{n}")
+    second_s = both.where("a > s1").groupBy("s").agg(F.min("a").alias("s2"))
+    second_u = both.where("a > u1").groupBy("k").agg(F.min("a").alias("u2"))
+    ranked = both.join(second_s, "s", "left").join(second_u, "k", "left")
+    rival = F.when((F.col("a") == F.col("u1")) & (F.col("a") == F.col("s2")), F.col("s1")).when(
+        (F.col("a") == F.col("s1")) & (F.col("a") == F.col("u2")), F.col("u1"))
+    chained = scratch.save(ranked.select("s", "a", "u", rival.alias("to")).where("to IS NOT NULL"), f"chained-{n}")
+    links, k = chained.select("a", "to", F.lit(True).alias("odd")), 0
+    while True:
+        up = links.select(F.col("a").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"))
+        links = scratch.save(links.join(up, "to", "left").select(
+            "a", F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"),
+            F.col("next").isNotNull().alias("moved")), f"chains-{n}-{k}")
+        ended = links.where("moved").isEmpty()
+        links, k = links.select("a", "to", "odd"), k + 1
+        if ended:
+            break
+    heads = both.where("a = s1 AND a = u1").select(F.col("a").alias("to"))
+    even = links.where("NOT odd").join(heads, "to", "left_semi").select("a")
+    return chained.join(even, "a", "left_semi").select("s", "a", "u")
+
+
 def dedup_batch(df: DataFrame, blank_url: str = "collapse", ordered: bool = True) -> DataFrame:
     """Sanitise titles, keep the best row per signature, then one per URL.
 

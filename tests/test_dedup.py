@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postloom.operators import dedup
 from postloom.operators.dedup import dedup_batch, drop_seen, greedy_dedup
 
 COLS = "arrival long, title string, url string, company string, scraped_at string"
@@ -60,6 +61,25 @@ def test_greedy_chain_and_hot_key(spark):
     assert kept(greedy_dedup(frame(spark, rows))) == greedy_model(rows)
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    saved, save = [], dedup.Scratch.save
+    monkeypatch.setattr(dedup.Scratch, "save", lambda self, df, name: saved.append(name) or save(self, df, name))
+    rows = [(i, f"s{(i + 1) // 2}", f"u{i // 2}", "c", None) for i in range(4096)]
+    assert kept(greedy_dedup(frame(spark, rows))) == list(range(0, 4096, 2))
+    assert len(saved) <= 30
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_random_along_chains(spark, seed, monkeypatch):
+    """Chains that branch, meet and end at rows with two rivals, followed from the first round on."""
+    monkeypatch.setattr(dedup, "PLAIN_ROUNDS", 0)
+    rng = random.Random(seed)
+    rows = [(i, f"s{(i + 1) // 2 + rng.choice([0, 0, 0, 1, 5])}", rng.choice([f"u{i // 2}"] * 6 + [f"u{i // 2 + 2}", None]), "c", None)
+            for i in range(250)]
+    rows = [(a, *rest) for a, (_, *rest) in zip(rng.sample(range(10**6), len(rows)) if seed else range(len(rows)), rows)]
+    assert kept(greedy_dedup(frame(spark, rows))) == greedy_model(rows)
+
+
 def test_greedy_empty(spark):
     assert kept(greedy_dedup(frame(spark, []))) == []
 
