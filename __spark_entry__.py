@@ -369,6 +369,14 @@ def q_summary_regroup(spark, sf_dir):
     return _text_length(df.select("arrival", "description", "salary"))
 
 
+def q_summary_resumed(spark, sf_dir):
+    """Summaries of all documents after a run over the labelled ones, whose outputs are kept."""
+    folder = f"{Scratch(spark, 'outputs').root}/model=last-words"
+    chunks.summarize(_stored_and_new(spark, sf_dir)[0], _last_words, outputs=folder)
+    df = chunks.summarize(postings(spark, sf_dir), _last_words, outputs=folder)
+    return _text_length(df.select("arrival", "description", "salary"))
+
+
 def _distinct(spark, sf_dir, source_rows=postings):
     rows = features.distinct_titles(titles.titled(source_rows(spark, sf_dir)))
     return Scratch(spark, "titles").save(rows, "titles")

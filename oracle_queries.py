@@ -499,6 +499,7 @@ SQL: dict[str, str] = {
       AND NOT contains(lower(h1), 'that the') AND contains(lower(h1), lower({_fix_doubled('h1')}))""",
     "desc_chunks": f"WITH {CHUNKS} SELECT arrival, chunk_no, length(chunk) AS n_text, md5(chunk) AS digest FROM chunked",
     "summary_regroup": f"WITH {_STAGED} SELECT arrival, salary, length(d) AS n_text, md5(d) AS digest FROM summed",
+    "summary_resumed": f"WITH {_STAGED} SELECT arrival, salary, length(d) AS n_text, md5(d) AS digest FROM summed",
     "tfidf_word": f"WITH {GRAMS} SELECT title_id, gram AS feature, round(weight, 6) AS weight FROM weighted WHERE block = 'w'",
     "tfidf_char": f"WITH {GRAMS} SELECT title_id, gram AS feature, round(weight, 6) AS weight FROM weighted WHERE block = 'c'",
     "tfidf_union": f"WITH {GRAMS} SELECT title_id, feature, round(weight, 6) AS weight FROM united",

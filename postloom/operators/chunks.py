@@ -12,8 +12,11 @@ from postloom.config import CHUNK_PROMPT, FINAL_PROMPT
 from postloom.functions.fields import fill_salary
 from postloom.functions.text import collapse
 from postloom.schema import ARRIVAL, MISSING_TEXT
+from postloom.scratch import Scratch
 
 MIN_WORDS, CHUNK_WORDS = 80, 450
+#: Prompts whose outputs are kept together: what a lost job may cost.
+PROMPTS_PER_JOB = 100_000
 
 #: Prompts in, one output per prompt; null marks a failure.
 Infer = Callable[[pd.Series], pd.Series]
@@ -66,18 +69,56 @@ def _apply(df: DataFrame, keys: list[str], infer: Infer) -> DataFrame:
     return df.select(*keys, "prompt").mapInPandas(run, f"{types}, output string")
 
 
-def summarize(df: DataFrame, infer: Infer, key: str = ARRIVAL) -> DataFrame:
+def answers(prompts: DataFrame, infer: Infer, folder: str) -> DataFrame:
+    """``(digest, output)`` of prompts ``(digest, prompt)``, kept in a folder that all executors share.
+
+    Equal prompts are sent once, and none that has an output in the folder. The others are
+    dealt to jobs of about ``PROMPTS_PER_JOB``, each of which adds its outputs to the folder when it ends, so a job that
+    is lost loses its own prompts only and the next run goes on from there. In a job, prompts of
+    similar length follow each other, so that a model's batches are little padded. A prompt that failed
+    has no output and is asked again by the next run.
+    """
+    spark = prompts.sparkSession
+    schema = "digest string, output string"
+    prompts = Scratch(spark, "prompts").save(
+        prompts.groupBy("digest").agg(F.first("prompt").alias("prompt")).withColumn("length", F.length("prompt")), "distinct")
+    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
+    left = Scratch(spark, "prompts").save(
+        prompts.join(spark.read.schema(schema).parquet(folder).select("digest"), "digest", "left_anti"), "left")
+    jobs = -(-left.count() // PROMPTS_PER_JOB)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for job in range(jobs):
+        own = left.where(F.pmod(F.xxhash64("digest"), F.lit(jobs)) == job)
+        packed = own.repartitionByRange(width, "length", "digest").sortWithinPartitions("length", "digest")
+        _apply(packed, ["digest"], infer).where("output IS NOT NULL").write.mode("append").parquet(folder)
+    found = spark.read.schema(schema).parquet(folder)
+    # a job that was run twice may have left an output twice
+    return found.join(prompts.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max("output").alias("output"))
+
+
+def _answered(prompts: DataFrame, keys: list[str], infer: Infer, folder: str | None) -> DataFrame:
+    """Outputs of the ``prompt`` column, by the keys; from a folder of outputs if one is named."""
+    if folder is None:
+        return _apply(prompts, keys, infer)
+    asked = prompts.withColumn("digest", F.sha2("prompt", 256))
+    return asked.join(answers(asked.select("digest", "prompt"), infer, folder), "digest", "left").select(*keys, "output")
+
+
+def summarize(df: DataFrame, infer: Infer, key: str = ARRIVAL, outputs: str | None = None) -> DataFrame:
     """Replace long descriptions by a two-stage summary; fill blank salaries.
 
     One prompt per chunk, the outputs joined in chunk order into a final
     prompt. Any failure keeps the original text. Only long rows pass through
     Python; the groups collected are the chunks of a single description.
+
+    With ``outputs``, a folder for the outputs of one model, prompts are sent when this is called, and
+    only those the folder does not answer yet (``answers``).
     """
     long_rows = _with_text(df).where("_long")
     prompts = chunk_descriptions(long_rows.select(key, "description"), key).select(
         key, "chunk_no", F.concat(F.lit(CHUNK_PROMPT), "chunk").alias("prompt")
     )
-    parts = _apply(prompts, [key, "chunk_no"], infer)
+    parts = _answered(prompts, [key, "chunk_no"], infer, outputs)
     finals = (
         parts.groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("chunk_no", "output"))).alias("parts"))
@@ -85,7 +126,7 @@ def summarize(df: DataFrame, infer: Infer, key: str = ARRIVAL) -> DataFrame:
         .select(key, F.concat(
             F.lit(FINAL_PROMPT), F.array_join(F.col("parts.output"), " ")).alias("prompt"))
     )
-    summaries = _apply(finals, [key], infer).withColumnRenamed("output", "_summary")
+    summaries = _answered(finals, [key], infer, outputs).withColumnRenamed("output", "_summary")
     return (
         df.join(summaries, key, "left")
         .withColumn("description", F.coalesce("_summary", "description"))

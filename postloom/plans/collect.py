@@ -227,17 +227,17 @@ def decide(candidates: DataFrame, stored: DataFrame, cfg: Config) -> DataFrame:
 
 
 def ingest(store: PostingStore, candidates: DataFrame, cfg: Config, batch: int | None = None,
-           infer: Infer | None = None, writer: str = DEFAULT_WRITER) -> int:
-    """Append what a run accepts. Repeating a batch number adds nothing new:
+           infer: Infer | None = None, writer: str = DEFAULT_WRITER, model: str | None = None) -> int:
+    """Append what a run accepts; with the name of a ``model``, its outputs are kept beside the store and asked for once. Repeating a batch number adds nothing new:
     all rows but the writer's own from that number on count as stored, and the batch replaces itself."""
     new = accepted(candidates, partial(store.met, before_batch=batch, writer=writer), cfg)
     if infer is not None:
-        new = summarize(new, infer)
+        new = summarize(new, infer, outputs=store.outputs(model))
     return store.append(new, batch, writer)
 
 
 def ingest_part(store: PostingStore, candidates: DataFrame, cfg: Config, batch: int, infer: Infer | None = None,
-                writer: str = DEFAULT_WRITER) -> None:
+                writer: str = DEFAULT_WRITER, model: str | None = None) -> None:
     """Append one part of a run that comes in several: the parts together accept what the whole run would.
 
     What the run has to know of its earlier parts is kept beside the batches, under the same
@@ -251,7 +251,7 @@ def ingest_part(store: PostingStore, candidates: DataFrame, cfg: Config, batch:
     marks = _marked(candidates, cfg, scratch, memory)
     new = accepted(candidates, partial(store.met, before_batch=batch, writer=writer), cfg, marks)
     if infer is not None:
-        new = summarize(new, infer)
+        new = summarize(new, infer, outputs=store.outputs(model))
     store.append(new, batch, writer)
     if marks is not None:
         store.remember(next_memory(marks, cfg, memory), marks, batch, writer)

@@ -102,6 +102,10 @@ class PostingStore:
         self._indexed(writer, batch)
         return batch
 
+    def outputs(self, model: str | None) -> str | None:
+        """The folder for the outputs of a named model."""
+        return None if model is None else f"{self.root}/outputs/model={model}"
+
     # -- keys ----------------------------------------------------------------
 
     def _index(self, writer: str, batch: int) -> str:

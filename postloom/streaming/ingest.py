@@ -19,7 +19,7 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def ingest_stream(candidates: DataFrame, store: PostingStore, cfg: Config, checkpoint: str,
-                  infer: Infer | None = None, available_now: bool = True) -> StreamingQuery:
+                  infer: Infer | None = None, available_now: bool = True, model: str | None = None) -> StreamingQuery:
     """Append every micro-batch; together they accept what one batch run over all of them would.
 
     De-duplication needs two keys over all stored rows, so the state is the
@@ -33,7 +33,7 @@ def ingest_stream(candidates: DataFrame, store: PostingStore, cfg: Config, check
     ``candidates`` must arrive in order: a later micro-batch holds later rows.
     """
     def write(batch: DataFrame, number: int) -> None:
-        ingest_part(store, batch, cfg, number, infer, writer=_query_id(batch.sparkSession, checkpoint))
+        ingest_part(store, batch, cfg, number, infer, _query_id(batch.sparkSession, checkpoint), model)
 
     writer = candidates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:

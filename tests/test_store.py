@@ -1,5 +1,7 @@
 """CSV reading, the store, verification, chunking, summaries, streaming."""
 
+import hashlib
+import os
 import random
 
 import numpy as np
@@ -315,6 +317,54 @@ def test_memory_holds_digests_of_each_session(spark, tmp_path):
     assert [r.description for r in store.read().orderBy("arrival").collect()] == [text.strip(), None, None]
 
 
+def noting(path, die=None):
+    """A model that notes each prompt it is sent, and ends its worker at prompts with a given word."""
+    def infer(prompts):
+        out = []
+        for p in prompts:
+            if die and die in p:
+                os._exit(1)
+            with open(path, "a") as f:
+                f.write(hashlib.md5(p.encode()).hexdigest() + "\n")
+            out.append(" ".join(p.split()[-3:]))
+        return pd.Series(out)
+    return infer
+
+
+def test_outputs_are_kept_and_resumed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunks, "PROMPTS_PER_JOB", 4)
+    sent, folder = str(tmp_path / "sent"), str(tmp_path / "outputs")
+    texts = [" ".join(f"w{k % 9}x{i}" for i in range(n)) for k, n in enumerate([90, 500, 1000, 90, 100, 700, 30, 460, 95, 90, 2000, 90])]
+    rows = [(k, t, None) for k, t in enumerate(texts)] + [(k + 50, t, None) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "arrival long, description string, salary string")
+    read = lambda: open(sent).read().split() if os.path.exists(sent) else []
+    with pytest.raises(Exception):
+        chunks.summarize(df, noting(sent, die="w5x3 "), outputs=folder)
+    before = len(spark.read.parquet(folder).collect())
+    assert 0 < before <= len(read())
+    calls = len(read())
+    got = {r.arrival: r.description for r in chunks.summarize(df, noting(sent), outputs=folder).collect()}
+    # equal prompts went once; what the lost job had not written went again, at most its own prompts
+    assert calls < len(read()) and len(read()) - len(set(read())) <= chunks.PROMPTS_PER_JOB * 3
+    assert got == {r.arrival: r.description for r in chunks.summarize(df, noting(str(tmp_path / "other"))).collect()}
+    calls = len(read())
+    again = {r.arrival: r.description for r in chunks.summarize(df, noting(sent), outputs=folder).collect()}
+    assert again == got and len(read()) == calls
+
+
+def test_a_failed_prompt_is_asked_again(spark, tmp_path):
+    df = spark.createDataFrame([(1, "word " * 100, "$5"), (2, "other " * 100, "$5")], "arrival long, description string, salary string")
+
+    def broken(prompts):
+        return pd.Series([None if "other" in p else "short" for p in prompts])
+
+    folder = str(tmp_path / "outputs")
+    first = {r.arrival: r.description for r in chunks.summarize(df, broken, outputs=folder).collect()}
+    assert first == {1: "short", 2: "other " * 100}
+    second = {r.arrival: r.description for r in chunks.summarize(df, lambda p: p.map(lambda _: "now"), outputs=folder).collect()}
+    assert second == {1: "short", 2: "now"}
+
+
 def test_ingest_with_summaries_and_cap(spark, tmp_path):
     store = PostingStore(spark, str(tmp_path / "s"))
     df = spark.createDataFrame(candidates(), CAND).select(
