@@ -553,8 +553,10 @@ def _training_data():
     try:
         import corpus_pipeline
         from postloom.llm import queries as llm
-    except ImportError:
-        return {}, {}
+    except ImportError as e:
+        if (e.name or "").startswith(("corpus_pipeline", "postloom.llm")):
+            return {}, {}  # the subpackage is not there; anything else that is missing is an error
+        raise
     found = {**llm.queries(), "pipeline": corpus_pipeline.run}
     sql = {**llm.oracle_sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
     return found, {name: text for name, text in sql.items() if text}
