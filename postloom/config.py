@@ -111,13 +111,18 @@ class Element:
     """An HTML element to find: tag name, optionally an attribute test.
 
     ``match`` is ``"contains"`` (substring of the attribute), ``"word"`` (one
-    of its blank-separated words) or ``"equals"``.
+    of its blank-separated words) or ``"equals"``. With ``within``, it is looked for inside the first
+    such element, for cards among its own items only (an ``li`` inside another is none).
     """
 
     tag: str
     attr: str | None = None
     value: str | None = None
     match: str = "contains"
+    within: Element | None = None
+
+
+ANY = "[a-z][a-z0-9]*"
 
 
 @dataclass(frozen=True)
@@ -125,7 +130,8 @@ class Layout:
     """How one posting site lays out its result cards.
 
     Candidates are tried in order. The first one present wins; for titles with
-    ``title_by_text`` the first one that yields text, its parts joined by spaces.
+    ``title_by_text`` the first one that yields text, its parts joined by spaces. With ``title_first_line``
+    a card without any of them has the first line of its text for a title.
     """
 
     name: str
@@ -135,26 +141,29 @@ class Layout:
     companies: tuple[Element, ...] = ()
     base_url: str = ""
     title_by_text: bool = False
+    title_first_line: bool = False
 
 
 LAYOUT_A = Layout(
     name="A",
-    cards=(Element("div", "class", "SerpJob"), Element("li")),
-    titles=(Element("a", "class", "jobTitle"), Element("a")),
+    cards=(Element("div", "class", "SerpJob"), Element("li", within=Element(ANY, "id", "job-list", "equals"))),
+    titles=(Element("a", "class", "jobTitle"),),
     links=(Element("a", "class", "jobTitle"), Element("a")),
     companies=(Element("span", "data-testid", "companyName", "equals"),),
     base_url=SITE_A_BASE,
+    title_first_line=True,
 )
 
 LAYOUT_B = Layout(
     name="B",
     cards=(
-        Element("[a-z][a-z0-9]*", "class", "job-card-container", "word"),
+        Element(ANY, "class", "job-card-container", "word"),
         Element("li", "class", "jobs-search-results__list-item", "word"),
     ),
     titles=(
-        Element("a", "class", "job-card-list__title", "word"),
+        Element(ANY, "class", "job-card-list__title", "word"),
         Element("a", "class", "job-card-container__link", "word"),
+        Element("span", "aria-hidden", "true", "equals", within=Element("a", "class", "job-card-container__link", "word")),
     ),
     links=(
         Element("a", "class", "job-card-list__title", "word"),

@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.config import Config, LAYOUT_A, LAYOUT_B
+from postloom.config import ANY, Config, Element, LAYOUT_A, LAYOUT_B
 from postloom.operators import gates, matching
 from postloom.plans import collect
-from postloom.sources.pages import extract_postings
+from postloom.sources.pages import element_inner, extract_postings
 
 
 def test_tiers_and_description_gate(spark):
@@ -98,8 +98,36 @@ def test_extract_layout_a(spark):
     out = [tuple(r) for r in extract_postings(df, LAYOUT_A).orderBy("page_id", "pos").collect()]
     base = LAYOUT_A.base_url
     assert out == [
-        (1, 0, "DataAnalyst", base + "/job/1", "A&B"), (1, 1, "ML MLX", "https://h/job?x=1", ""), (1, 2, "", "", ""),
-        (2, 0, "One", base + "/j", ""), (2, 1, "", "", "")]
+        (1, 0, "DataAnalyst", base + "/job/1", "A&B"), (1, 1, "ML MLX", "https://h/job?x=1", ""), (1, 2, "none", "", ""),
+        (2, 0, "One", base + "/j", ""), (2, 1, "Two", "", "")]
+
+
+def test_own_items_and_nested_elements(spark):
+    """Cards are the items of the job list itself, an element ends at its own closing tag, a card may have its first line for a title."""
+    menu = "<ul><li><a class='jobTitle' href='/menu'>Menu</a></li></ul>"
+    listed = (menu + "<div id='x'></div><UL class=c id=\"job-list\"><li> <a class='jobTitle' href='/1'>One <b>x</b></a><ul><li>in one</li>"
+              "<li>too</li></ul></li>\n<LI><p>R&amp;D <b>lead</b> role</p><div>Acme</div></LI><li/><li><a href='/3'>\n <i>Third</i></a></li></UL>"
+              "<ul><li>foot</li></ul>")
+    open_items = "<ol id='job-list'><li>a<li>b</ol>"
+    df = spark.createDataFrame([(1, listed), (2, menu), (3, open_items)], "page_id long, html string")
+    out = [tuple(r)[:4] for r in extract_postings(df, LAYOUT_A).orderBy("page_id", "pos").collect()]
+    base = LAYOUT_A.base_url
+    assert out == [(1, 0, "Onex", base + "/1"), (1, 1, "R&D lead role", ""), (1, 2, "Third", base + "/3"), (3, 0, "a", ""), (3, 1, "b", "")]
+    html = "<div class='q'>a<div>b<div></div>c</div><div/>d</div>e</div>"
+    df = spark.createDataFrame([(html,), ("<div class='q'>open",), ("no",)], "html string")
+    got = df.select(element_inner(F.col("html"), Element("div", "class", "q")).alias("one"),
+                    element_inner(F.col("html"), Element(ANY, "class", "q", "word")).alias("any")).collect()
+    assert [r.one for r in got] == ["a<div>b<div></div>c</div><div/>d", "", ""] and got[0].any == got[0].one and got[2].any == ""
+
+
+def test_titles_of_layout_b_by_all_selectors(spark):
+    card = "<div class='job-card-container'>{}</div>"
+    link = "<a class='job-card-container__link' href='https://h/k'>{}</a>"
+    html = (card.format("<strong class='x job-card-list__title'><strong>Any</strong> element</strong>" + link.format("no"))
+            + card.format(link.format(" ") + "<span aria-hidden='true'>outside</span>")
+            + card.format(link.format("<span>Lead</span><span aria-hidden='true'>no</span>")))
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [r.title for r in extract_postings(df, LAYOUT_B).orderBy("pos").collect()] == ["Any element", "", "Lead no"]
 
 
 def test_extract_layout_b(spark):
