@@ -286,6 +286,36 @@ def q_cards_layout_b(spark, sf_dir):
     return extract_postings(_result_pages(spark, sf_dir, "B"), LAYOUT_B).drop("company")
 
 
+def _captured(spark, sf_dir, layout):
+    """Result pages of a layout and the details behind their first cards, some of another card, some without a box for pay."""
+    rows = postings(spark, sf_dir)
+    kind, n = F.col("arrival") % 5, F.col("arrival").cast("string")
+    details = rows.select(
+        F.shiftleft("arrival", collect.PAGE_BITS).alias("card_id"),
+        F.when(kind == 1, "zz").when(kind == 2, " ").otherwise(F.concat(F.lit(" "), F.col("title"), F.lit(" R&D"))).alias("title"),
+        F.when(kind == 3, None).when(kind == 4, "another").otherwise(F.concat("company", F.lit(" inc"))).alias("company"),
+        "description",
+        F.when(kind == 0, F.concat(F.lit("Pay $"), n, F.lit(" per hour"))).when(kind == 1, "none given").alias("compensation"),
+        F.concat(F.lit("earn $"), (F.col("arrival") % 900).cast("string"), F.lit(",000 a year")).alias("body"),
+        F.array(F.lit(" a "), F.lit("  "), "company").alias("qualifications"))
+    pages = _result_pages(spark, sf_dir, layout.name).withColumn("page_num", (F.col("page_id") % 4 + 1).cast("int"))
+    return _text_length(collect.capture(pages, details, layout).drop("scraped_at"))
+
+
+def q_captured_a(spark, sf_dir):
+    return _captured(spark, sf_dir, LAYOUT_A)
+
+
+def q_captured_b(spark, sf_dir):
+    return _captured(spark, sf_dir, LAYOUT_B)
+
+
+def q_captured_pages_limited(spark, sf_dir):
+    """The candidates of the first two result pages per keyword."""
+    limited = gates.page_limit(_captured(spark, sf_dir, LAYOUT_A), replace(CFG, max_pages=2))
+    return limited.select("arrival", "page_num", "title")
+
+
 def q_canonical_urls(spark, sf_dir):
     href = F.col("url")
     return _table(spark, sf_dir, "pages").select(

@@ -391,6 +391,30 @@ saved AS (
   FROM screened JOIN kept USING (arrival))
 SELECT arrival, title, url, company, length(d) AS n_text, md5(d) AS digest FROM saved"""
 
+def _captured(layout: str) -> str:
+    pay = """CASE arrival % 5 WHEN 0 THEN '$' || {n} || ' per hour' WHEN 1 THEN 'N/A'
+      ELSE '$' || (arrival % 900) || ',000' END""".replace(
+        "{n}", "substr(CAST(arrival AS VARCHAR), 1, 3)").replace(
+        "|| ' per hour'", "|| CASE WHEN arrival < 1000 THEN ' per hour' ELSE '' END")
+    title = _fix_doubled(f"trim(title) || '{' ' if layout == 'B' else ''}R&D'")
+    d_title = "CASE arrival % 5 WHEN 1 THEN 'zz' WHEN 2 THEN '' ELSE trim(title || ' R&D') END"
+    company = "coalesce(company, '')"
+    d_company = f"CASE arrival % 5 WHEN 3 THEN '' WHEN 4 THEN 'another' ELSE trim({company} || ' inc') END"
+    if layout == "A":
+        agree = f"""({d_company} <> '' AND company IS NOT NULL AND (contains(lower(company), lower({d_company})) OR contains(lower({d_company}), lower(company))))
+          OR ({d_title} <> '' AND contains(lower({d_title}), lower(substr({title}, 1, 10))))"""
+        url, session, first = "'https://www.simplyhired.ca/job/' || arrival", "arrival", "0"
+        rest = f"{pay} AS salary, CASE WHEN trim({company}) = '' THEN 'a' ELSE 'a; ' || trim(company) END AS qualifications"
+    else:
+        agree = f"{_fix_doubled(d_title)} <> '' AND (contains(lower({title}), lower({_fix_doubled(d_title)})) OR contains(lower({_fix_doubled(d_title)}), lower({title})))"
+        url, session, first = "'https://jobs.test/job/' || arrival", "0", "4611686018427387904"
+        rest = "'N/A' AS salary, 'N/A' AS qualifications"
+    shown = "company" if layout == "A" else d_company
+    return f"""WITH {POSTINGS} SELECT arrival * 1048576 + {first} AS arrival, '{layout}' AS layout, CAST({session} AS BIGINT) AS session,
+      CAST(arrival % 4 + 1 AS INTEGER) AS page_num, {title} AS title, {url} AS url, {shown} AS company, {rest},
+      length(description) AS n_text, md5(description) AS digest FROM postings WHERE {agree}"""
+
+
 _STAGED = CHUNKS + r""",
 stage AS (
   SELECT arrival, string_agg(array_to_string(string_split('obtain salary / salary range, if available: ' || chunk, ' ')[-5:], ' '),
@@ -481,6 +505,9 @@ SQL: dict[str, str] = {
     "cards_layout_b": f"""WITH {POSTINGS} SELECT arrival AS page_id, 0 AS pos,
         {_fix_doubled("trim(title) || ' R&D'")} AS title, 'https://jobs.test/job/' || arrival AS url FROM postings
       UNION ALL SELECT arrival, 1, '', '' FROM postings""",
+    "captured_a": _captured("A"),
+    "captured_b": _captured("B"),
+    "captured_pages_limited": f"SELECT arrival, page_num, title FROM ({_captured('A')}) WHERE page_num <= 2",
     "canonical_urls": """SELECT page_id, url AS url_a, split_part(url, '?', 1) AS url_b,
       'https://jobs.test/' || split_part(regexp_replace(url, '^.*//', ''), '?', 1) AS completed FROM pages""",
     "card_detail_match_a": f"""WITH {CARDS} SELECT c.card_id, c.title, c.company FROM cards c JOIN details d USING (card_id)
