@@ -32,6 +32,7 @@ import itertools
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +60,23 @@ BROADCAST_FILES = 500_000
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("ids", "<u4")])
 #: Pre-tokens and chunks between spaces that a worker remembers, texts it cuts at a time, pre-tokens it encodes at a time.
 CACHE, CHUNKS, TEXTS, WORDS = 400_000, 300_000, 64, 4096
+#: Content, in characters, that those chunks and pre-tokens may have in all.
+CACHE_CHARS = 16 << 20
 _GAP = re.compile(r" \s| $")
+#: Chunks of the plain alphabet, for which every version of Unicode has the same letters, digits and white space, and their cuts.
+_PLAIN = re.compile("[\x00-\u024f]*")
+_SPACE, _DIGIT = r"\t-\r \x85\xa0", r"\d\xb2\xb3\xb9\xbc-\xbe"
+_CUT = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W_{_DIGIT}]+| ?[{_DIGIT}]+| ?(?:(?![{_SPACE}])[\W_])+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+def _byte_names() -> dict[int, str]:
+    """Names of the bytes that are not their own in the byte-level alphabet: those that do not print, numbered from 256."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+SPACE = _byte_names()[32]
 
 
 class _Ids:
@@ -67,7 +84,8 @@ class _Ids:
 
     Before a space that a non-space follows, the byte-level pre-tokenizer always
     cuts, so the chunks between have the ids they have in the text, and so have the
-    pre-tokens of a chunk.
+    pre-tokens of a chunk. Those of the plain alphabet go to the library's model, others
+    through its own pre-tokenizer as well.
     """
 
     def __init__(self, path: str) -> None:
@@ -78,16 +96,18 @@ class _Ids:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.known_chars = self.words_chars = 0
         self.pattern = regex.compile(PATTERN)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.kind = "<u4" if wide else "<u2"
+        self.kind, self.code = ("<u4", "I") if wide else ("<u2", "H")
+        self.model, self.byte_names = self.tokenizer.model, _byte_names()
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(names.values()) + 1, np.int64)
         for name, i in names.items():
             self.sizes[i] = len(name)  # a byte-level name has a character per byte
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _pieces(self, text: str) -> list[str] | None:
         """Words without the space before them; None if the text has to be encoded whole."""
@@ -112,11 +132,28 @@ class _Ids:
 
     def _remember(self, chunks: list[str]) -> None:
         """Remember the ids of chunks that follow a space."""
-        words, cut = self.words, [[f" {c}"] if c.isalpha() else self.pattern.findall(f" {c}") for c in chunks]
-        new = list(set(itertools.chain.from_iterable(cut)).difference(words))
-        for k in range(0, len(new), WORDS):
-            self._learn(new[k: k + WORDS])
-        self.known.update(zip(chunks, (b"".join([words[w] for w in c]) for c in cut), strict=True))
+        words, plain, whole, cut = self.words, _PLAIN.fullmatch, [], []
+        for c in chunks:
+            if c.isalpha():
+                whole.append(c)
+            else:
+                cut.append(_CUT.findall(f" {c}") if plain(c) else self.pattern.findall(f" {c}"))
+        spaced = [f" {c}" for c in whole]
+        new = list(set(spaced).union(*cut).difference(words))
+        strange = [w for w in new if not plain(w)]
+        for k in range(0, len(strange), WORDS):
+            self._learn(strange[k: k + WORDS])
+        tokenize, pack = self.model.tokenize, self.pack
+        for w in new:
+            if plain(w):
+                name = w.replace(" ", SPACE) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.byte_names)
+                words[w] = pack([t.id for t in tokenize(name)])
+        self.known.update(zip(whole, map(words.__getitem__, spaced), strict=True))
+        get = words.__getitem__
+        for parts in cut:
+            self.known["".join(parts)[1:]] = b"".join(map(get, parts))
+        self.known_chars += sum(map(len, chunks))
+        self.words_chars += sum(map(len, new))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Packed ids of each text, in order."""
@@ -124,10 +161,12 @@ class _Ids:
         for at in range(0, len(texts), TEXTS):
             some = texts[at: at + TEXTS]
             cut = [self._pieces(t) for t in some]
-            if len(known) > CHUNKS:
+            if len(known) > CHUNKS or self.known_chars > CACHE_CHARS:
                 known.clear()
-            if len(self.words) > CACHE:
+                self.known_chars = 0
+            if len(self.words) > CACHE or self.words_chars > CACHE_CHARS:
                 self.words.clear()
+                self.words_chars = 0
             self._remember(list(set().union(*(c[1:] for c in cut if c)).difference(known)))
             head = iter(self.tokenizer.encode_batch_fast([c[0] for c in cut if c], add_special_tokens=False))
             for text, pieces in zip(some, cut, strict=True):
