@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import bounded_batches, hashed_sample
+from postloom.llm.common import bounded_batches, hashed_sample, slices, text_bytes
 
 SAMPLE, SAMPLE_BYTES = 200, 200_000
 LAYOUTS, EPOCHS, HIDDEN = 600, 12, 16
 PATH_DIM, WORD_DIM = 96, 32
-#: Pages judged at a time.
-GROUP = 128
+#: Bytes of pages cut at a time, and blocks, padding counted, that the network reads at a time.
+GROUP_BYTES, PIECE = 2 << 20, 32_768
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -74,13 +74,15 @@ def blocks(page: str) -> list[Block]:
     stack: list[str] = []
     parts: list[str] = []
     linked, anchors = 0, 0
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                path = tuple(stack)
+                out.append(Block(paths.setdefault(path, path), text, linked))
             parts.clear()
         linked = 0
 
@@ -149,6 +151,14 @@ def vectors(page: list[Block]) -> np.ndarray:
     return out
 
 
+#: The blocks of a page, or their vectors.
+Page = list[Block] | np.ndarray
+
+
+def _vectors_of(page: Page) -> np.ndarray:
+    return page if isinstance(page, np.ndarray) else vectors(page)
+
+
 # ------------------------------------------------------------------- network
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -162,15 +172,17 @@ class _Direction:
         self.w, self.u, self.b = weights
         self.step = step
 
-    def run(self, x: np.ndarray, mask: np.ndarray, keep: bool) -> np.ndarray:
+    def run(self, x: np.ndarray, mask: np.ndarray, keep: bool,
+            state: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The outputs of each step, beginning in a state that an earlier run left in ``self.state``."""
         t, n, _ = x.shape
         size = len(self.b) // 4
-        h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
+        h, c = state or (np.zeros((n, size), np.float32), np.zeros((n, size), np.float32))
         out, self.kept = np.zeros((t, n, size), np.float32), {}
         inputs = x @ self.w + self.b
         for k in range(t)[:: self.step]:
             gates = inputs[k] + h @ self.u
-            i, f, o = (_sigmoid(gates[:, j * size: (j + 1) * size]) for j in range(3))
+            i, f, o = np.split(_sigmoid(gates[:, : 3 * size]), 3, axis=1)
             g = np.tanh(gates[:, 3 * size:])
             m = mask[k][:, None]
             new = f * c + i * g
@@ -179,6 +191,7 @@ class _Direction:
                 self.kept[k] = (i, f, o, g, c, h, tanh)
             c, h = m * new + (1 - m) * c, m * o * tanh + (1 - m) * h
             out[k] = h
+        self.state = h, c
         return out
 
     def back(self, x: np.ndarray, mask: np.ndarray, grad: np.ndarray) -> list[np.ndarray]:
@@ -225,15 +238,36 @@ class Labeller:
         both = np.concatenate([w.run(x, mask, keep) for w in ways], axis=2)
         return _sigmoid(both @ self.weights[6] + self.weights[7]), both, ways
 
-    def predict(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each page, which blocks are content."""
+    def _long(self, page: Page) -> np.ndarray:
+        """Scores of a page too long for one array: each direction reads piece after piece and keeps its state."""
+        score = np.full(len(page), self.weights[7][0], np.float32)
+        starts = range(0, len(page), PIECE)
+        for way, order, out in ((_Direction(self.weights[:3], 1), starts, self.weights[6][:HIDDEN]),
+                                (_Direction(self.weights[3:6], -1), reversed(starts), self.weights[6][HIDDEN:])):
+            state = None
+            for at in order:
+                x = _vectors_of(page[at: at + PIECE])[:, None]
+                score[at: at + PIECE] += way.run(x, np.ones(x.shape[:2], np.float32), False, state)[:, 0] @ out
+                state = way.state
+        return score
+
+    def predict(self, pages: list[Page]) -> list[np.ndarray]:
+        """For each page, which blocks are content; memory is bounded by ``PIECE``, not by the longest page."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        for at in range(0, len(order), GROUP):
-            some = order[at: at + GROUP]
-            chance = self._forward(*self._pad([pages[k] for k in some]))[0]
-            for j, k in enumerate(some):
+        at = 0
+        while at < len(order):
+            end = at
+            while end < len(order) and (end + 1 - at) * len(pages[order[end]]) <= PIECE:
+                end += 1
+            if end == at:
+                out[order[at]] = self._long(pages[order[at]]) > 0
+                at += 1
+                continue
+            chance = self._forward(*self._pad([_vectors_of(pages[k]) for k in order[at:end]]))[0]
+            for j, k in enumerate(order[at:end]):
                 out[k] = chance[: len(pages[k]), j] > 0.5
+            at = end
         return out
 
     def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, seed: int = 5) -> None:
@@ -359,10 +393,10 @@ def extract(pages: DataFrame, labeller: Labeller, id_col: str = "page_id", html_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, GROUP):
-                batch = whole.slice(at, GROUP)
+            for at, end in slices(text_bytes(whole.column(whole.num_columns - 1))[1], GROUP_BYTES):
+                batch = whole.slice(at, end - at)
                 cut = [blocks(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
-                hits = labeller.predict([vectors(c) for c in cut])
+                hits = labeller.predict(cut)
                 texts = ["\n".join(b.text for b, h in zip(c, hit, strict=True) if h) for c, hit in zip(cut, hits, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names)
 

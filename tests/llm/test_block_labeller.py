@@ -75,3 +75,16 @@ def test_gradients_against_differences():
         down = loss()
         net.weights[n][at] = keep
         assert abs((up - down) / 2e-3 - grads[n][at]) < 2e-3
+
+
+@pytest.mark.parametrize("piece", [7, 64])
+def test_pages_longer_than_a_piece(monkeypatch, piece):
+    r = np.random.default_rng(3)
+    labeller = b.Labeller()
+    pages = [r.normal(size=(n, b.DIM)).astype(np.float32) for n in (0, 1, 6, 7, 8, 63, 64, 65, 300)]
+    whole = labeller.predict(pages)
+    monkeypatch.setattr(b, "PIECE", piece)
+    assert [h.tolist() for h in labeller.predict(pages)] == [h.tolist() for h in whole]
+    assert 0 < sum(h.sum() for h in whole) < sum(map(len, pages))
+    page = [b.Block(("div", "p"), f"word {k}.", 0) for k in range(200)]
+    assert labeller.predict([page])[0].tolist() == labeller.predict([b.vectors(page)])[0].tolist()
