@@ -59,7 +59,7 @@ BLOCKS_PER_FILE = 32
 BROADCAST_FILES = 500_000
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("ids", "<u4")])
 #: Pre-tokens and chunks between spaces that a worker remembers, texts it cuts at a time, pre-tokens it encodes at a time.
-CACHE, CHUNKS, TEXTS, WORDS = 400_000, 300_000, 64, 4096
+CACHE, CHUNKS, TEXTS, WORDS = 400_000, 600_000, 64, 4096
 #: Content, in characters, that those chunks and pre-tokens may have in all.
 CACHE_CHARS = 16 << 20
 _GAP = re.compile(r" \s| $")
@@ -196,7 +196,8 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             packed = _ids(path).encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([b[:SAMPLE_BYTES] for b in packed], pa.binary())], ["ids"])
 
-    samples = [bytes(r[0]) for r in some.repartition(8).mapInArrow(run, "ids binary").sort("ids").collect()]
+    found = some.repartition(8).mapInArrow(run, "ids binary").collect()
+    samples = sorted(bytes(r[0]) for r in found)  # here, as Spark's sort would encode them twice to choose its ranges
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
