@@ -19,11 +19,13 @@ names them alike without a global array:
   is by all bytes of the segment. Segments that still share a bucket repeat as a whole.
 * Round 3 takes the rest, one segment per refined bucket, and compares window by
   window within the bucket of round 1. A bucket of up to ``BUCKET`` segments is one
-  small task; windows of a larger one are dealt out by their own identifiers, so
+  small task, which refines recursively (``refined``): buckets of 8 bytes are sorted on the bucket
+  identifiers of later offsets, and each round's identifiers are the next one's pointers.
+  Windows of a larger bucket are dealt out by their content's identifiers, so
   a passage that very many documents hold is no large group anywhere.
 
-Two windows are held equal if two independent 64-bit identifiers agree, that of the
-window and that of its bucket.
+In small buckets equal windows are equal bytes; elsewhere two windows are held equal if two independent
+64-bit identifiers agree, that of the window or segment and that of its bucket.
 
 Input rules: null is the empty text; texts shorter than ``LENGTH`` bytes lose nothing;
 a repeated row is a second place of all its strings; matches never cross texts;
@@ -45,6 +47,8 @@ from postloom.scratch import Scratch
 #: Fixed value: bytes of a string that must not repeat.
 LENGTH = 200
 GRAM, CHOICES = 64, LENGTH - 64 + 1
+#: Bytes of the buckets that in-bucket refinement begins with; they fill one 64-bit key.
+FIRST = 8
 #: Segments of a bucket that one task compares, bytes of a text that numpy works on at a time.
 BUCKET, PIECE = 1024, 1 << 20
 #: A list of row keys up to this long (8 bytes each) is broadcast, a longer one is shuffled.
@@ -139,7 +143,7 @@ _OPEN = "b long, k long, lo int, single boolean, bytes binary"
 def _contents(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of segments (b, k, lo, hi, single)."""
     lists = wanted.groupBy("k").agg(F.collect_set(F.struct("lo", "hi", "b", "single")).alias("parts"))
-    texts = _only(rows, wanted.select("k").distinct(), "left_semi").select("k", "text").distinct()
+    texts = _only(rows, wanted.select("k").distinct(), "left_semi").select("k", "text").dropDuplicates(["k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,6 +162,41 @@ def _deep(content: bytes) -> np.ndarray:
     return windows(grams(np.frombuffer(content, np.uint8)))
 
 
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """Numbers of the keys in sorted order, equal keys alike; a key that occurs once gets -1."""
+    _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    return np.where(counts[back] > 1, back, -1)
+
+
+def refined(contents: list[bytes]) -> list[np.ndarray]:
+    """For each place of each content whether the ``LENGTH`` bytes from it also start at another place.
+
+    Buckets of ``FIRST`` bytes come from sorting the bytes themselves. A bucket of depth q is refined by
+    sorting its places on the buckets they have q bytes further on, which gives depth 2q, and the
+    refined buckets are the pointers of the next round; the last round looks ``LENGTH`` - q ahead.
+    Places alone in their bucket are final and drop out. Names are ranks, so equal names are equal bytes.
+    """
+    sizes = np.array([len(c) for c in contents])
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    left = np.concatenate([np.arange(n, 0, -1) for n in sizes])  # bytes from a place to its content's end
+    at, q = np.flatnonzero(left >= FIRST), FIRST
+    keys = np.zeros(len(at), np.uint64)
+    for k in range(FIRST):
+        keys = keys << np.uint64(8) | data[at + k]
+    name = np.full(len(data), -1, np.int64)
+    name[at] = _ranked(keys)
+    while q < LENGTH:
+        step = min(q, LENGTH - q)
+        at = at[(left[at] >= q + step) & (name[at] >= 0)]
+        at = at[name[at + step] >= 0]  # alone at a later offset, so alone here
+        keys = name[at] * np.int64(len(data)) + name[at + step]
+        name = np.full(len(data), -1, np.int64)
+        name[at] = _ranked(keys)
+        q += step
+    ends = np.cumsum(sizes)
+    return [name[e - n: max(e - n, e - LENGTH + 1)] >= 0 for n, e in zip(sizes, ends, strict=True)]
+
+
 def _runs(places: np.ndarray) -> Iterator[tuple[int, int]]:
     """First and last of each run of consecutive numbers."""
     cut = np.flatnonzero(np.diff(places) != 1)
@@ -167,12 +206,9 @@ def _runs(places: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _repeated(members: list[dict]) -> list[tuple[int, int, int]]:
     """Runs of repeated windows (k, first, end byte) among the segments of a bucket."""
-    ids = [_deep(m["bytes"]) for m in members]
-    _, back, counts = np.unique(np.concatenate(ids), return_inverse=True, return_counts=True)
-    again, at, out = counts[back] > 1, 0, []
-    for m, own in zip(members, ids, strict=True):
-        hit = np.flatnonzero(again[at: at + len(own)])
-        at += len(own)
+    out = []
+    for m, again in zip(members, refined([m["bytes"] for m in members]), strict=True):
+        hit = np.flatnonzero(again)
         if m["single"] and len(hit):
             out += [(m["k"], m["lo"] + a, m["lo"] + z + LENGTH) for a, z in _runs(hit)]
     return out
@@ -215,9 +251,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
                    bucket: int = BUCKET) -> DataFrame:
     """``(k, spans)``: the byte ranges of a text, by its row key, that repeat; ranges may overlap."""
     rows = _rows(docs, id_col, text_col)
-    found = _segments(rows)
-    shared = found.groupBy("b").count().where("count > 1").select("b")
+    # both tables are written: texts are cut once, and a join of two scans is split where a bucket is hot
+    found = scratch.save(_segments(rows), "found")
+    shared = scratch.save(found.groupBy("b").count().where("count > 1").select("b"), "shared")
     live = scratch.save(found.join(shared, "b"), "live")
+    scratch.drop("found")
     refined = scratch.save(live.groupBy("b", "c").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "lo", "hi")).alias("one")), "refined")
     whole = live.join(refined.where("n > 1").select("b", "c"), ["b", "c"], "left_semi").select(
