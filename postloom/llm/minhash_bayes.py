@@ -288,21 +288,27 @@ def _across(shared: DataFrame, groups: DataFrame, sigs: DataFrame, docs: DataFra
             percent: int) -> DataFrame:
     """Links between members of a bucket that are in different groups, enough to join all groups that are linked.
 
-    Pairs with the centre were tested before. Blocks meet twice: with signatures, to
+    Pairs with the centre were tested before. Members of a bucket's largest group need not meet each other, so m of
+    them and r others take r / ``BLOCK`` rows a member, not (m + r) / ``BLOCK``. Blocks meet twice: with signatures, to
     find the possible pairs, and with the full sets of the members that have some. A task
     returns fewer links than it has members, however many pairs it tests.
     """
     rows = shared.where(F.col("id") != F.col("centre")).join(
         groups.select(F.col("node").alias("id"), "component"), "id", "left").select(
         "bucket", "id", F.coalesce("component", "id").alias("grp"))
-    mixed = rows.groupBy("bucket").agg(
-        F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    rows = scratch.save(rows.join(mixed.select("bucket", "size"), "bucket"), "mixed")
+    sizes = rows.groupBy("bucket", "grp").agg(F.count(F.lit(1)).alias("own"))
+    mixed = sizes.groupBy("bucket").agg(
+        F.max(F.struct("own", "grp")).alias("most"), F.sum("own").alias("size")).where("size > most.own").select(
+        "bucket", F.col("most.grp").alias("main"), F.ceil((F.col("size") - F.col("most.own")) / BLOCK).cast("long").alias("others"),
+        F.ceil(F.col("most.own") / BLOCK).cast("long").alias("mains"))
+    rows = scratch.save(rows.join(mixed, "bucket"), "mixed")
     own = scratch.save(_only(sigs.select("id", "sig"), rows.select("id").distinct(), "left_semi"), "mixed-sigs")
-    n = F.ceil(F.col("size") / BLOCK).cast("long")
-    dealt = rows.join(own, "id").withColumn("n", n).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("n"))).select(
-        "bucket", "id", "grp", "block", "sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    # blocks of the largest group come after those of all others, and meet these only
+    main = F.col("grp") == F.col("main")
+    met_by = F.when(main, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    dealt = rows.join(own, "id").withColumn("block", F.when(main, F.col("others") + F.pmod(
+        F.xxhash64("id"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others")))).select(
+        "bucket", "id", "grp", "block", "sig", F.explode(F.sequence(F.lit(0).cast("long"), met_by - 1)).alias("other"))
     blocks = dealt.groupBy(
         "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     ).agg(F.collect_list(F.struct("id", "grp", "block", "sig")).alias("members"))
