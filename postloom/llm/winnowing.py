@@ -4,15 +4,16 @@ Of every ``w`` neighbouring k-grams of words the one of smallest hash is kept as
 a fingerprint (Schleimer, Wilkerson, Aiken 2003). Equal runs of ``w + k - 1``
 words keep the same fingerprint in both texts, so a shared window of ``span``
 words is found for sure with ``k + w - 1 = span``. Fingerprints of documents and
-benchmark items are joined; where a document meets an item, the fingerprints'
-positions align the two, and every alignment is extended over the whole item
-word by word. Only equal words count then, so the result is exact.
+benchmark items are joined; in the documents that share some, every window that kept a shared
+fingerprint is extended to its whole span, first by hash and then word by word.
+Only equal words count then, so the result is exact.
 
-Three passes over the documents: fingerprints (values only), the positions in
-the few documents that share one, and the word counts of all. The items'
-fingerprints are a written table, so the planner broadcasts it only if its
+Three passes over the documents, whatever lengths the items have: fingerprints of all spans (values
+only), the windows in the few documents that share one, and the word counts of all. The items'
+windows are a written table, so the planner broadcasts it only if its
 measured size allows that, and else shuffles both sides. Nothing is grouped by
-fingerprint, and a document's hits are bounded by its words.
+fingerprint. A document's words are in one row a pass, never in a row for each item it
+meets, and its windows are bounded by its words.
 
 Everything is DataFrame functions.
 
@@ -24,6 +25,8 @@ each; other columns are ignored; with an empty benchmark nothing is hit.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,15 +69,43 @@ def _minima(grams: Column, w: int) -> Column:
         F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(grams, i, w))))
 
 
-def fingerprints(rows: DataFrame, span: int, *keys: str, positions: bool) -> DataFrame:
-    """``(keys, fp)``, or ``(keys, fp, pos)``, of rows with the array ``h`` of word hashes."""
-    k, w = _shape(span)
-    grams = rows.select(*keys, _grams(F.col("h"), k).alias("g"))
+def _minima_of(rows: DataFrame, spans: Iterable[int], *keep: str) -> tuple[DataFrame, list[tuple[int, Column]]]:
+    """Rows with the array ``h`` of word hashes turned into k-grams once, and for each span its windows' minima."""
+    shapes = {span: _shape(span) for span in spans}
+    grams = rows.select(*keep, *[_grams(F.col("h"), k).alias(f"g{k}") for k in sorted({k for k, _ in shapes.values()})])
+    return grams, [(span, F.coalesce(_minima(F.col(f"g{k}"), w), F.array().cast("array<bigint>")))
+                   for span, (k, w) in shapes.items()]
+
+
+def _mark(span: int, least: Column) -> Column:
+    """A fingerprint of a span; those of other spans do not meet it."""
+    return F.xxhash64(F.lit(span), least)
+
+
+def _marking(span: int) -> Callable[[Column], Column]:
+    return lambda least: _mark(span, least)
+
+
+def fingerprints(rows: DataFrame, spans: int | Iterable[int], *keys: str, positions: bool) -> DataFrame:
+    """``(keys, fp)`` of rows with the array ``h`` of word hashes, for all spans at once.
+
+    With ``positions``, ``(keys, span, start, fp, whole)`` of every window, with its first word's place and the
+    hash of its words, which are in the array ``w``.
+    """
+    spans = [spans] if isinstance(spans, int) else spans
     if not positions:
-        return grams.select(*keys, F.explode(F.array_distinct(_minima(F.col("g"), w))).alias("fp"))
-    placed = grams.select(*keys, F.transform("g", lambda g, i: F.struct(g.alias("fp"), i.alias("pos"))).alias("g"))
-    return placed.select(*keys, F.explode(F.array_distinct(_minima(F.col("g"), w))).alias("m")).select(
-        *keys, "m.fp", "m.pos")
+        grams, minima = _minima_of(rows, spans, *keys)
+        marks = [F.transform(F.array_distinct(least), _marking(span)) for span, least in minima]
+        return grams.select(*keys, F.explode(F.concat(*marks)).alias("fp"))
+    grams, minima = _minima_of(rows, spans, *keys, "w")
+    every = [F.transform(least, _window_of(span)) for span, least in minima]
+    return grams.select(*keys, F.explode(F.concat(*every)).alias("m")).select(*keys, "m.*")
+
+
+def _window_of(span: int) -> Callable[[Column, Column], Column]:
+    return lambda least, i: F.struct(
+        F.lit(span).alias("span"), i.alias("start"), _mark(span, least).alias("fp"),
+        F.xxhash64(F.slice("w", i + 1, span)).alias("whole"))
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,11 +113,13 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _windows(equal: Column, span: int) -> Column:
-    """Starts of the windows of ``span`` true values."""
-    n = F.size(equal) - span
-    return F.when(n >= 0, F.filter(
-        F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.forall(F.slice(equal, i + 1, span), lambda e: e)))
+def _spelled(start: Column, span: Column) -> Column:
+    """The words of a window of ``w``, which hold no blanks, as one string."""
+    return F.array_join(F.slice("w", start + 1, span), " ")
+
+
+def _hashed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, "w", word_hashes(F.col("w")).alias("h"))
 
 
 def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
@@ -96,39 +129,37 @@ def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "doc
     own = _documents(docs, id_col, text_col)
     known = scratch.save(
         items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"),
-                     words(F.col(item_text), exact=True).alias("iw"))
-        .where(F.size("iw") > 0).distinct()
-        .withColumn("span", F.least(F.size("iw"), F.lit(SPAN)))
-        .withColumn("key", F.xxhash64("item", "iw")), "items")
-    spans = sorted(r[0] for r in known.select("span").distinct().collect())  # 1 to SPAN
-    found = None
-    for span in spans:
-        of_span = known.where(F.col("span") == span)
-        marks = scratch.save(fingerprints(
-            of_span.select("key", word_hashes(F.col("iw")).alias("h")), span, "key", positions=True), f"marks-{span}")
-        hashed = own.select("id", "th", word_hashes(words(F.col("text"), exact=False)).alias("h"))
-        met = scratch.save(
-            fingerprints(hashed, span, "id", "th", positions=False)
-            .join(marks.select("fp").distinct(), "fp", "left_semi").select("id", "th").distinct(), f"met-{span}")
-        near = own.join(met, same_row(own, met, "id", "th"), "left_semi").distinct().select(
-            "id", "th", words(F.col("text"), exact=True).alias("dw"))
-        near = scratch.save(near, f"near-{span}")
-        aligned = fingerprints(
-            near.select("id", "th", word_hashes(F.col("dw")).alias("h")), span, "id", "th", positions=True
-        ).join(marks.withColumnRenamed("pos", "ipos"), "fp").select(
-            "id", "th", "key", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
-        with_item = aligned.join(of_span, "key")
-        both = with_item.join(near, same_row(with_item, near, "id", "th")).select(
-            with_item["id"], with_item["th"], "item", "shift",
-            F.zip_with("iw", F.transform(
-                "iw", lambda _, i: F.get(F.col("dw"), F.col("shift") + i)), lambda a, b: a.eqNullSafe(b)).alias("equal"))
-        hit = both.select("id", "th", "item", F.lit(span).alias("span"), F.explode(F.transform(
-            _windows(F.col("equal"), span), lambda i: i + F.col("shift"))).alias("start"))
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        found = spark.createDataFrame([], "id long, th long, item string, span int, start int").withColumn(
+                     words(F.col(item_text), exact=True).alias("w"))
+        .where(F.size("w") > 0).distinct()
+        .withColumn("own", F.least(F.size("w"), F.lit(SPAN)))
+        .withColumn("row", F.monotonically_increasing_id()), "items")
+    spans = sorted(r[0] for r in known.select("own").distinct().collect())  # 1 to SPAN
+    if not spans:
+        return spark.createDataFrame([], "id long, th long, item string, span int, start int").withColumn(
             "id", F.col("id").cast(dict(own.dtypes)["id"]))
-    return found.distinct()
+    # an item has windows of its own span only
+    placed = None
+    for span in spans:
+        part = fingerprints(_hashed(known.where(F.col("own") == span), "row"), [span], "row", positions=True)
+        placed = part if placed is None else placed.unionByName(part)
+    placed = scratch.save(placed.join(known, "row").select(
+        "item", "span", "fp", "whole", _spelled(F.col("start"), F.col("span")).alias("spelled")).distinct(), "item-windows")
+    hashed = own.select("id", "th", word_hashes(words(F.col("text"), exact=False)).alias("h"))
+    met = scratch.save(fingerprints(hashed, spans, "id", "th", positions=False).join(
+        placed.select("fp").distinct(), "fp", "left_semi").select("id", "th").distinct(), "met")
+    near = scratch.save(own.join(met, same_row(own, met, "id", "th"), "left_semi").distinct().select(
+        "id", "th", words(F.col("text"), exact=True).alias("w")), "near")
+    # a shared fingerprint is extended to its windows by hash, on rows without words
+    alike = fingerprints(_hashed(near, "id", "th"), spans, "id", "th", positions=True).join(
+        placed.select("fp", "whole").distinct(), ["fp", "whole"], "left_semi").groupBy(F.col("id").alias("did"), F.col("th").alias("dth")).agg(
+        F.collect_set(F.struct("span", "start", "whole")).alias("places"))
+    spelled = near.join(alike, F.col("id").eqNullSafe(F.col("did")) & (F.col("th") == F.col("dth"))).select(
+        "id", "th", F.explode(F.transform("places", lambda p: F.struct(
+            p["span"].alias("span"), p["start"].alias("start"), p["whole"].alias("whole"),
+            _spelled(p["start"], p["span"]).alias("spelled")))).alias("p")).select("id", "th", "p.*")
+    return spelled.join(
+        placed.select("item", "span", "whole", "spelled"), ["span", "whole", "spelled"]).select(
+        "id", "th", "item", "span", "start").distinct()
 
 
 def _covered(starts: Column) -> Column:
