@@ -20,6 +20,7 @@ is replaced; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -30,9 +31,9 @@ from postloom.scratch import Scratch
 ADDED = ("curve", "shard", "slot")
 
 
-def log_step(value: Column, bits: int) -> Column:
-    """Steps by the logarithm of a size, four to a doubling, up to the last step."""
-    step = F.floor(F.log2(F.greatest(value, F.lit(1)).cast("double")) * 4).cast("int")
+def log_step(value: Column, bits: int, largest: int = (1 << 31) - 1) -> Column:
+    """Steps by the logarithm of a size, as many to a doubling as reach ``largest``, the longest text a row can hold."""
+    step = F.floor(F.log2(F.greatest(value, F.lit(1)).cast("double")) * (((1 << bits) - 1) / math.log2(largest))).cast("int")
     return F.coalesce(F.least(step, F.lit((1 << bits) - 1)), F.lit(0))
 
 
@@ -108,13 +109,14 @@ def shards(df: DataFrame, steps: list[Column], bits: int, ties: list[Column], n_
     numbered = scratch.save(run.select(
         *keep, "curve", F.shiftright(number, 33).alias("__part"),
         number.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place")), "numbered")
+    scratch.drop("placed")
     counts = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = counts.selectExpr(
         "__part", f"coalesce(sum(__n) OVER (ORDER BY __part {before}), 0L) AS __base", "sum(__n) OVER () AS __all")
     rank = F.col("__base") + F.col("__place")
     return (
-        numbered.join(offsets, "__part")
+        numbered.join(F.broadcast(offsets), "__part")  # a row for each of n partitions
         .withColumn("__rank", rank)
         .withColumn("shard", F.expr(f"CAST(__rank * {n_shards} DIV __all AS INT)"))
         .withColumn("slot", F.col("__rank") - F.expr(
@@ -124,6 +126,8 @@ def shards(df: DataFrame, steps: list[Column], bits: int, ties: list[Column], n_
 
 
 def write(sharded: DataFrame, path: str) -> None:
-    """A folder per shard, in each files that hold runs of the curve, so that their statistics prune in every dimension."""
-    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard").parquet(path)
+    """A folder per shard, in each files that hold runs of the curve, so that their statistics prune in every dimension.
+
+    Rows of ``shards`` lie in runs of the curve already, so they are sorted where they are and not shuffled again.
+    """
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

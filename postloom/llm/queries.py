@@ -99,16 +99,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in one of 16 shards along a curve over length, language and source; row counts balance."""
-    text = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"))
-    steps = [hilbert.log_step(F.col("size"), CURVE_BITS), hilbert.name_step(F.col("lang"), CURVE_BITS),
+    """Every document written to one of 16 shards along a curve over length, language and source, and read back; row counts balance."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)
+    steps = [hilbert.log_step(size, CURVE_BITS), hilbert.name_step(F.col("lang"), CURVE_BITS),
              hilbert.name_step(F.col("source"), CURVE_BITS)]
-    ties = [F.col("text_crc32"), F.col("doc_id")]
-    return hilbert.shards(rows, steps, CURVE_BITS, ties, N_SHARDS).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+    ties = [F.xxhash64("text"), F.col("doc_id")]
+    scratch = Scratch(spark, "hilbert")
+    folder = f"{scratch.root}/shards"
+    sharded = hilbert.shards(docs, steps, CURVE_BITS, ties, N_SHARDS, scratch)
+    hilbert.write(sharded, folder)
+    scratch.drop("numbered")
+    text = F.coalesce("text", F.lit(""))
+    return spark.read.schema(sharded.schema).parquet(folder).select(
+        "doc_id", size.cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 

@@ -63,3 +63,17 @@ def test_repeated_rows_and_text_form(spark):
     cut = documents(spark, ["é" * 120, "y" + "é" * 99 + "a"])  # the repeat may begin inside a character
     for x in bucket_refine.remove_repeats(cut, as_text=True).collect():
         assert "\ufffd" not in x.kept
+
+
+def test_recursive_refinement_against_brute_force():
+    r = np.random.default_rng(5)
+    for trial in range(20):
+        base = bytes(r.integers(97, 97 + (1, 2, 26)[trial % 3], 700, dtype=np.uint8))
+        contents = [base[a: a + n] for a, n in zip(r.integers(0, 300, 5), r.integers(200, 400, 5))]
+        contents += [bytes(r.integers(0, 256, 250, dtype=np.uint8)), contents[0], bytes(200), bytes([255]) * 300]
+        seen = {}
+        for k, c in enumerate(contents):
+            for i in range(len(c) - 199):
+                seen.setdefault(c[i: i + 200], []).append((k, i))
+        want = [[len(seen[c[i: i + 200]]) > 1 for i in range(len(c) - 199)] for c in contents]
+        assert [x.tolist() for x in bucket_refine.refined(contents)] == want

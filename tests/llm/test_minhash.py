@@ -96,3 +96,29 @@ def test_bands_follow_the_threshold():
     for percent in (75, 80, 85, 95):
         bands, rows = m.shape(percent)
         assert (1 - (percent / 100) ** rows) ** bands < 3e-7 and bands * rows <= m._N
+
+
+def test_one_stranger_does_not_square_a_large_group(spark, monkeypatch):
+    from postloom.scratch import Scratch
+
+    monkeypatch.setattr(m, "BLOCK", 8)
+    r = np.random.default_rng(8)
+    base = [f"w{k}" for k in r.integers(0, 5000, 400)]
+    near = []
+    for _ in range(200):
+        copy = list(base)
+        copy[int(r.integers(0, 400))] = f"n{r.integers(0, 1 << 30)}"
+        near.append(" ".join(copy))
+    strangers = []
+    for k in range(3):  # 0.6 to 0.8 alike: they share bands with the group but no link
+        other = list(base)
+        for i in range(0, 400, 36 + 5 * k):
+            other[i] = f"s{k}-{i}"
+        strangers.append(" ".join(other))
+    rows = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: rows.append((name, save(self, df, name))) or rows[-1][1])
+    check(spark, near + strangers)
+    mixed = [t for n, t in rows if n == "mixed"][0]
+    per = mixed.selectExpr("count(*) n", "sum(if(grp = main, others, others + mains)) dealt").first()
+    assert per.n == 0 or per.dealt <= 3 * per.n

@@ -61,3 +61,30 @@ def test_every_span_shares_a_fingerprint(spark, span):
     for r in winnowing.fingerprints(df, span, "n", positions=False).collect():
         marks.setdefault(r.n, set()).add(r.fp)
     assert all(marks[k] & marks[99] for k in range(60 - span + 1))
+
+
+def test_documents_are_read_three_times_whatever_lengths_items_have(spark):
+    w = prose(200, 90).split()
+    items = [(k, " ".join(w[3 * k: 4 * k])) for k in range(1, 14)] + [(20, " ".join(w[100:130]))]
+    docs = [" ".join(w[:90]), " ".join(w[60:]), prose(300, 91), "x"]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    table = documents(spark, docs).select("doc_id", "text")
+    watched = table.mapInArrow(counted, table.schema)
+    got = sorted(winnowing.contamination(watched, spark.createDataFrame(items, "item_id long, text string")).collect(), key=lambda r: r.id)
+    assert [(r.n_words, r.n_hit, r["items"], r.contaminated) for r in got] == brute(docs, items)
+    assert reads.value == 3 * len(docs)
+
+
+def test_a_gram_that_many_items_share(spark):
+    common = " ".join(prose(5, 92).split()[:5])
+    items = [(k, f"{prose(10, 100 + k)} {common} {prose(10, 300 + k)}") for k in range(60)]
+    docs = [f"{prose(20, 500 + k)} {common} {prose(20, 600 + k)}" for k in range(60)] + [items[3][1] + " " + items[4][1]]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(winnowing.contamination(documents(spark, docs), table).collect(), key=lambda r: r.id)
+    assert [(r.n_words, r.n_hit, r["items"], r.contaminated) for r in got] == brute(docs, items)
