@@ -98,9 +98,8 @@ def shards(df: DataFrame, steps: list[Column], bits: int, ties: list[Column], n_
     spark = df.sparkSession
     scratch = scratch or Scratch(spark, "hilbert")
     keep = [c for c in df.columns if c not in ADDED]
-    # written first, as the range partitioner reads its input twice, for a sample and for good
-    placed = scratch.save(df.select(*keep, hilbert_index(steps, bits).alias("curve"),
-                                    *[t.alias(f"__t{k}") for k, t in enumerate(ties)]), "placed")
+    # the range partitioner reads this twice, for a sample and for good: computing the index again costs less than a written copy
+    placed = df.select(*keep, hilbert_index(steps, bits).alias("curve"), *[t.alias(f"__t{k}") for k, t in enumerate(ties)])
     order = ["curve", *[f"__t{k}" for k in range(len(ties))]]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     run = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -109,7 +108,6 @@ def shards(df: DataFrame, steps: list[Column], bits: int, ties: list[Column], n_
     numbered = scratch.save(run.select(
         *keep, "curve", F.shiftright(number, 33).alias("__part"),
         number.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place")), "numbered")
-    scratch.drop("placed")
     counts = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = counts.selectExpr(
