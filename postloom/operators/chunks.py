@@ -74,22 +74,27 @@ def answers(prompts: DataFrame, infer: Infer, folder: str) -> DataFrame:
 
     Equal prompts are sent once, and none that has an output in the folder. The others are
     dealt to jobs of about ``PROMPTS_PER_JOB``, each of which adds its outputs to the folder when it ends, so a job that
-    is lost loses its own prompts only and the next run goes on from there. In a job, prompts of
+    is lost loses its own prompts only and the next run goes on from there. A job reads its own prompts only, from
+    the folders of its parts. In a task, prompts of
     similar length follow each other, so that a model's batches are little padded. A prompt that failed
     has no output and is asked again by the next run.
     """
     spark = prompts.sparkSession
     schema = "digest string, output string"
-    prompts = Scratch(spark, "prompts").save(
-        prompts.groupBy("digest").agg(F.first("prompt").alias("prompt")).withColumn("length", F.length("prompt")), "distinct")
+    prompts = Scratch(spark, "prompts").save(prompts.groupBy("digest").agg(F.first("prompt").alias("prompt")), "distinct")
     spark.createDataFrame([], schema).write.mode("append").parquet(folder)
-    left = Scratch(spark, "prompts").save(
-        prompts.join(spark.read.schema(schema).parquet(folder).select("digest"), "digest", "left_anti"), "left")
+    # as many parts as jobs at most, so that a job reads the folders of its own parts only
+    parts = -(-prompts.count() // PROMPTS_PER_JOB) or 1
+    root = f"{Scratch(spark, 'prompts').root}/left"
+    left = prompts.join(spark.read.schema(schema).parquet(folder).select("digest"), "digest", "left_anti").withColumns(
+        {"length": F.length("prompt"), "part": F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int")})
+    left.write.partitionBy("part").parquet(root)
+    left = spark.read.schema(left.schema).parquet(root)
     jobs = -(-left.count() // PROMPTS_PER_JOB)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for job in range(jobs):
-        own = left.where(F.pmod(F.xxhash64("digest"), F.lit(jobs)) == job)
-        packed = own.repartitionByRange(width, "length", "digest").sortWithinPartitions("length", "digest")
+        own = left.where(F.col("part") % jobs == job).select("digest", "prompt", "length")
+        packed = own.repartition(width, "digest").sortWithinPartitions("length", "digest")
         _apply(packed, ["digest"], infer).where("output IS NOT NULL").write.mode("append").parquet(folder)
     found = spark.read.schema(schema).parquet(folder)
     # a job that was run twice may have left an output twice
