@@ -103,6 +103,21 @@ def test_similar_pairs_brute_force(spark, seed, block, per_group, monkeypatch):
         assert all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
+def test_vectors_and_pairs_are_shuffled_but_no_products(spark, monkeypatch):
+    """Vectors meet in cells of blocks; a pair is made once, whatever number of features it shares."""
+    monkeypatch.setattr(similarity, "FEATURES", 300)
+    rows = [*random_titles(60, 4), *(f"senior cloud data platform engineer number{k % 7} team{k}" for k in range(40))]
+    vectors, _, scratch = vectors_of(spark, rows)
+    pairs = similarity.similar_pairs(vectors, 0.55, scratch)
+    for df in (pairs, similarity.candidate_pairs(vectors, 0.55, scratch)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Aggregate" not in plan
+    sim = dense_vectors(rows) @ dense_vectors(rows).T
+    ids = sorted(r.id for r in vectors.collect())
+    want = sorted((a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if sim[a, b] >= 0.55)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == want and want
+
+
 def test_candidates_by_partial_products(spark, monkeypatch):
     """No pair is missed wherever the sum ends, and the longer it is the fewer are left."""
     vectors, _, scratch = vectors_of(spark, random_titles(200, 7))
