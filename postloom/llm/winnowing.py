@@ -37,6 +37,8 @@ from postloom.scratch import Scratch
 SPAN, SHARE = 13, 20
 #: Words of a k-gram where the window is long enough.
 GRAM = 5
+#: A list of contaminated rows up to this long (16 bytes each) is broadcast, with a longer one the texts are shuffled.
+BROADCAST_KEYS = 500_000
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -189,7 +191,9 @@ def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch | None = N
 
 def clean(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id",
           text_col: str = "text", **names: str) -> DataFrame:
-    """The documents that are not contaminated, as they are."""
-    bad = contamination(docs, items, scratch, id_col, text_col, **names).where("contaminated").select("id", "th")
+    """The documents that are not contaminated, as they are; the list of the others is written and counted, so no text is shuffled for it."""
+    scratch = scratch or Scratch(docs.sparkSession, "winnowing")
+    bad = scratch.save(
+        contamination(docs, items, scratch, id_col, text_col, **names).where("contaminated").select("id", "th").distinct(), "bad")
     return docs.join(
-        bad, docs[id_col].eqNullSafe(bad["id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad["th"]), "left_anti")
+        F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad, docs[id_col].eqNullSafe(bad["id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad["th"]), "left_anti")

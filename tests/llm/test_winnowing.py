@@ -88,3 +88,21 @@ def test_a_gram_that_many_items_share(spark):
     table = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(winnowing.contamination(documents(spark, docs), table).collect(), key=lambda r: r.id)
     assert [(r.n_words, r.n_hit, r["items"], r.contaminated) for r in got] == brute(docs, items)
+
+
+@pytest.mark.parametrize("listed", [1, 0])
+def test_clean_shuffles_no_text_for_a_list_that_fits(spark, monkeypatch, listed):
+    monkeypatch.setattr(winnowing, "BROADCAST_KEYS", 1000 * listed)
+    item = prose(40, 50)
+    docs = documents(spark, [item, None, "", prose(60, 51), item + " " + prose(9000, 52), prose(30, 53) + " " + item]).select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, item), (None, prose(50, 54))], docs.schema))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
+    try:
+        left = winnowing.clean(docs, items)
+        assert sorted((r.doc_id or -1, len(r.text or "")) for r in left.collect()) == sorted(
+            (r.doc_id or -1, len(r.text or "")) for r in docs.collect() if item not in (r.text or "") or len(r.text) > 9000)
+        assert ("SortMergeJoin" in left._jdf.queryExecution().executedPlan().toString()) == (not listed)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
