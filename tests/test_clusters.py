@@ -262,3 +262,37 @@ def test_empty_and_single_vocabulary(spark):
     df = rows_df(spark, ["alpha", "beta"])
     out = clusters.assign(df, clusters.cluster_titles(df)).collect()
     assert {r.arrival: r.cluster_id for r in out} == {0: 0, 1: 1}
+
+
+def test_a_component_of_hundreds_of_clusters_is_linked_inside_a_task(spark, monkeypatch):
+    size, rng = 300, np.random.default_rng(5)
+    dense = np.zeros((size, size + 2))
+    dense[:, -1] = 0.6
+    for i, share in enumerate(rng.uniform(0.5, 0.7, size)):  # neighbours share a feature, all share the last
+        dense[i, i], dense[i, i + 1] = share, 1.2 - share
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    n = rng.integers(1, 4, size).astype(float)
+    rows = [(i, int(n[i]), [*map(int, np.flatnonzero(v))], [*map(float, v[v > 0])]) for i, v in enumerate(dense)]
+    sim = dense @ dense.T
+    near = [(i, j, float(sim[i, j])) for i in range(size) for j in range(i + 1, size) if sim[i, j] >= 0.55]
+    scratch, written, save = Scratch(spark, "test"), [], Scratch.save
+    vectors = scratch.save(spark.createDataFrame(rows, "id long, n long, fids array<long>, ws array<double>"), "vectors")
+    pairs = scratch.save(spark.createDataFrame(near, "a long, b long, sim double"), "pairs")
+    assert len({r.component for r in components(pairs).collect()}) == 1
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: written.append(name) or save(self, df, name))
+    joined = {r.node: r.parent for r in clusters.link_components(vectors, pairs, scratch).collect()}
+    assert not [x for x in written if x.startswith("relinked-")]
+
+    total, home, weight = np.outer(n, n) * sim, np.arange(size), n.copy()
+    while True:
+        mean = np.triu(np.round(total / np.outer(weight, weight), 12), 1)
+        a, b = divmod(int(mean.argmax()), size)
+        if not 1 - mean[a, b] < 0.45:
+            break
+        home[home == b] = a
+        total[a] += total[b]
+        total[:, a] += total[:, b]
+        total[b] = total[:, b] = 0.0
+        weight[a] += weight[b]
+    assert 1 < len(set(home.tolist())) < size
+    assert [joined.get(i, i) for i in range(size)] == home.tolist()
