@@ -32,11 +32,13 @@ import itertools
 import json
 import os
 import re
+import string
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -44,9 +46,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from postloom.llm.bpe import PATTERN
-from postloom.llm.common import bounded_batches, hashed_sample, shuffles
+from postloom.llm.common import bounded_batches, hashed_sample, shuffles, text_bytes
 
 MAGIC = b"TOKZDIC1"
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
@@ -58,10 +61,11 @@ BLOCKS_PER_FILE = 32
 #: Positions of up to this many files (16 bytes each) are broadcast, more are shuffled.
 BROADCAST_FILES = 500_000
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("ids", "<u4")])
-#: Pre-tokens and chunks between spaces that a worker remembers, texts it cuts at a time, pre-tokens it encodes at a time.
-CACHE, CHUNKS, TEXTS, WORDS = 400_000, 600_000, 64, 4096
+#: Chunks between spaces that a worker remembers, as many older ones, pre-tokens without a space that it remembers, characters of the texts it cuts at a time (of one
+#: text at least), pre-tokens of either kind that the library encodes at a time.
+CHUNKS, CACHE, CHARS, WORDS = 400_000, 50_000, 1 << 20, 4096
 #: Content, in characters, that those chunks and pre-tokens may have in all.
-CACHE_CHARS = 16 << 20
+CACHE_CHARS = 8 << 20
 _GAP = re.compile(r" \s| $")
 #: Chunks of the plain alphabet, for which every version of Unicode has the same letters, digits and white space, and their cuts.
 _PLAIN = re.compile("[\x00-\u024f]*")
@@ -76,7 +80,8 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-SPACE = _byte_names()[32]
+#: Stands between pre-tokens of the plain alphabet, to which it does not belong; in bytes, and as a byte that no text has.
+_BETWEEN, _BETWEEN_BYTES, _NO_BYTE = "\u0250", "\u0250".encode(), b"\xff"
 
 
 class _Ids:
@@ -84,8 +89,8 @@ class _Ids:
 
     Before a space that a non-space follows, the byte-level pre-tokenizer always
     cuts, so the chunks between have the ids they have in the text, and so have the
-    pre-tokens of a chunk. Those of the plain alphabet go to the library's model, others
-    through its own pre-tokenizer as well.
+    pre-tokens of a chunk. A pre-token that begins with the space is a chunk as well. Those of the plain alphabet
+    go to the library's model, spelled in its alphabet of bytes, others through its own pre-tokenizer as well.
     """
 
     def __init__(self, path: str) -> None:
@@ -95,12 +100,17 @@ class _Ids:
         self.tokenizer.no_padding()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # known before, those still used come back
         self.words: dict[str, bytes] = {}
         self.known_chars = self.words_chars = 0
         self.pattern = regex.compile(PATTERN)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind, self.code = ("<u4", "I") if wide else ("<u2", "H")
-        self.model, self.byte_names = self.tokenizer.model, _byte_names()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")  # no name of a byte is a space
+        hidden = _byte_names()
+        self.letters = np.array([ord(hidden.get(b, chr(b))) for b in range(256)], "<u2")
+        self.letters[_NO_BYTE[0]] = ord(" ")
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(names.values()) + 1, np.int64)
         for name, i in names.items():
@@ -109,69 +119,125 @@ class _Ids:
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Words without the space before them; None if the text has to be encoded whole."""
-        return None if _GAP.search(text) or any(s in text for s in self.special) else text.split(" ")
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of pre-tokens.
-
-        Those that begin with a space and go on with none are encoded as one text, which costs
-        far less than one by one; tokens are told apart by their lengths in bytes.
-        """
-        spaced = [w for w in words if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, self.kind)
-        bounds = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in spaced])) + 1
-        packed, at = ids.tobytes(), 0
-        for word, bound in zip(spaced, (bounds * ids.itemsize).tolist(), strict=True):
-            self.words[word] = packed[at:bound]
-            at = bound
-        others = list(set(words).difference(spaced))
-        for word, got in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.words[word] = self.pack(got.ids)
+    def _whole_only(self, text: str) -> bool:
+        """Whether a text has to be encoded whole, as it has a space that belongs to white space or a special token."""
+        return _GAP.search(text) is not None or any(s in text for s in self.special)
+
+    def _split(self, ids: list[int], ends: np.ndarray) -> list[bytes]:
+        """The packed ids of words that end behind so many bytes; tokens are told apart by their lengths in bytes."""
+        ids = np.array(ids, self.kind)
+        bounds = ((np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1) * ids.itemsize).tolist()
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip([0, *bounds], bounds, strict=False)]
+
+    def _spelled(self, spaced: list[str], others: list[str]) -> list[bytes]:
+        """Ids of pre-tokens of the plain alphabet, ``spaced`` with a space before them, in one call."""
+        text = _BETWEEN.join([*map(" ".__add__, spaced), *others, ""])
+        data = np.frombuffer(text.encode().replace(_BETWEEN_BYTES, _NO_BYTE), np.uint8)
+        ends = np.flatnonzero(data == _NO_BYTE[0])
+        names = self.letters[data].tobytes().decode("utf-16-le")
+        return self._split(self.model.encode_batch_fast([names], add_special_tokens=False)[0].ids, ends - np.arange(len(ends)))
+
+    def _whole(self, spaced: list[str], others: list[str]) -> list[bytes]:
+        """Ids of pre-tokens; those after a space are encoded as one text, which costs far less than one by one."""
+        text = "".join(map(" ".__add__, spaced))
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ends = np.cumsum([len(w.encode()) + 1 for w in spaced])
+        return self._split(ids, ends) + [
+            self.pack(x.ids) for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+
+    def _cut(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk that follows a space, the first without it."""
+        if chunk.isascii() or _PLAIN.fullmatch(chunk):
+            word = chunk.rstrip(string.punctuation)
+            if word.isalpha():
+                return [word, chunk[len(word):]]
+            first, *rest = _CUT.findall(f" {chunk}")
+        else:
+            first, *rest = self.pattern.findall(f" {chunk}")
+        return [first[1:], *rest]
+
+    def _recall(self, chunks: Iterable[str]) -> list[str]:
+        """Know the older ones of these chunks again; those that never were known."""
+        new = []
+        for c, ids in zip(chunks, map(self.older.get, chunks), strict=True):
+            if ids is None:
+                new.append(c)
+            else:
+                self.known[c] = ids
+                self.known_chars += len(c)
+        return new
 
     def _remember(self, chunks: list[str]) -> None:
         """Remember the ids of chunks that follow a space."""
-        words, plain, whole, cut = self.words, _PLAIN.fullmatch, [], []
-        for c in chunks:
-            if c.isalpha():
-                whole.append(c)
-            else:
-                cut.append(_CUT.findall(f" {c}") if plain(c) else self.pattern.findall(f" {c}"))
-        spaced = [f" {c}" for c in whole]
-        new = list(set(spaced).union(*cut).difference(words))
-        strange = [w for w in new if not plain(w)]
-        for k in range(0, len(strange), WORDS):
-            self._learn(strange[k: k + WORDS])
-        tokenize, pack = self.model.tokenize, self.pack
-        for w in new:
-            if plain(w):
-                name = w.replace(" ", SPACE) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.byte_names)
-                words[w] = pack([t.id for t in tokenize(name)])
-        self.known.update(zip(whole, map(words.__getitem__, spaced), strict=True))
-        get = words.__getitem__
-        for parts in cut:
-            self.known["".join(parts)[1:]] = b"".join(map(get, parts))
-        self.known_chars += sum(map(len, chunks))
-        self.words_chars += sum(map(len, new))
+        known, words, plain = self.known, self.words, _PLAIN.fullmatch
+        chunks = self._recall(chunks)
+        whole, mixed = [c for c in chunks if c.isalpha()], [c for c in chunks if not c.isalpha()]
+        cut = list(map(self._cut, mixed))
+        heads = self._recall({parts[0] for parts in cut}.difference(known, whole)) + whole
+        tails = list({w for parts in cut for w in parts[1:]}.difference(words))
+        strange_heads, strange_tails = ([w for w in new if not w.isascii() and not plain(w)] for new in (heads, tails))
+        if strange_heads or strange_tails:
+            strange = {*strange_heads, *strange_tails}
+            heads, tails = ([w for w in new if w not in strange] for new in (heads, tails))
+        for encoded, spaced, others in ((self._spelled, heads, tails), (self._whole, strange_heads, strange_tails)):
+            for k in range(0, max(len(spaced), len(others)), WORDS):
+                here = spaced[k: k + WORDS]
+                found = encoded(here, others[k: k + WORDS])
+                known.update(zip(here, found, strict=False))
+                words.update(zip(others[k: k + WORDS], found[len(here):], strict=True))
+        for chunk, parts in zip(mixed, cut, strict=True):
+            if len(parts) == 2:
+                known[chunk] = known[parts[0]] + words[parts[1]]
+            elif len(parts) > 2:
+                known[chunk] = known[parts[0]] + b"".join(map(words.__getitem__, parts[1:]))
+        self.known_chars += sum(map(len, chunks)) + sum(map(len, heads))
+        self.words_chars += sum(map(len, tails)) + sum(map(len, strange_tails))
+
+    def _joined(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of texts that may be cut at every space, from those of their distinct chunks."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends, chunks = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py(), lists.flatten()
+        first = np.zeros(len(chunks), bool)
+        first[[0, *ends[:-1]]] = True
+        heads = self.tokenizer.encode_batch_fast(chunks.filter(pa.array(first)).to_pylist(), add_special_tokens=False)
+        coded = chunks.filter(pa.array(~first)).dictionary_encode()
+        spaced = pc.binary_join_element_wise(coded.dictionary, *(pa.scalar(x, pa.large_string()) for x in ("", " ")))  # as one text, far faster than one by one
+        distinct = text_bytes(spaced)[0].tobytes().decode().split(" ")[:-1]
+        number = coded.indices.to_numpy()
+        found = list(map(self.known.get, distinct))
+        new = [k for k, f in enumerate(found) if f is None]
+        if new:
+            self._remember([distinct[k] for k in new])
+            for k in new:
+                found[k] = self.known[distinct[k]]
+        ids = np.frombuffer(b"".join(found), self.kind)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // ids.itemsize
+        n = size[number]
+        made = np.concatenate([[0], np.cumsum(n)])
+        ids = ids[np.repeat((np.cumsum(size) - size)[number] - made[:-1], n) + np.arange(made[-1])]
+        bounds = made[ends - np.arange(1, len(ends) + 1)].tolist()
+        for head, a, b in zip(heads, [0, *bounds], bounds, strict=False):
+            yield self.pack(head.ids) + ids[a:b].tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Packed ids of each text, in order."""
-        known = self.known
-        for at in range(0, len(texts), TEXTS):
-            some = texts[at: at + TEXTS]
-            cut = [self._pieces(t) for t in some]
-            if len(known) > CHUNKS or self.known_chars > CACHE_CHARS:
-                known.clear()
-                self.known_chars = 0
+        at = 0
+        while at < len(texts):
+            begin, chars = at, 0
+            while at < len(texts) and (at == begin or chars + len(texts[at]) <= CHARS):
+                chars += len(texts[at])
+                at += 1
+            if len(self.known) > CHUNKS or self.known_chars > CACHE_CHARS:
+                self.older, self.known, self.known_chars = self.known, {}, 0
             if len(self.words) > CACHE or self.words_chars > CACHE_CHARS:
                 self.words.clear()
                 self.words_chars = 0
-            self._remember(list(set().union(*(c[1:] for c in cut if c)).difference(known)))
-            head = iter(self.tokenizer.encode_batch_fast([c[0] for c in cut if c], add_special_tokens=False))
-            for text, pieces in zip(some, cut, strict=True):
-                yield self.pack(next(head).ids) + b"".join(map(known.__getitem__, pieces[1:])) if pieces else self.pack(
-                    self.tokenizer.encode(text, add_special_tokens=False).ids)
+            some = texts[begin:at]
+            whole = [self._whole_only(t) for t in some]
+            joined = self._joined([t for t, alone in zip(some, whole, strict=True) if not alone])
+            for text, alone in zip(some, whole, strict=True):
+                yield self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if alone else next(joined)
 
 
 _tokenizers: dict[str, _Ids] = {}

@@ -45,3 +45,24 @@ def test_another_dictionary_is_refused():
     assert (header["dictionary"], index["ids"].tolist(), bytes(frames)) == ("d", [2], b"xx")
     with pytest.raises(ValueError):
         list(token_files.blocks(b"other"))
+
+
+class Counted:
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return getattr(self.model, name)
+
+
+def test_new_words_of_all_texts_take_one_call_of_the_model():
+    own = token_files._Ids(PATH)
+    own.model = Counted(own.model)
+    parts = ["don't", "x's", "a--b", "_u_", "'", "''s", "m².", "½,", "naïve.", "«é»", "ɐx", "aɐ", "日本.", "é", "\x00", "7th", "(no)", "ÿ\x7f", "\ny"]
+    all_texts = [f"w{k} {prose(20, k)} {p} {p}{k} {k}{p} end" for k, p in enumerate(parts * 4)]
+    library = Tokenizer.from_file(PATH)
+    for _ in range(2):  # learned, then remembered
+        got = [np.frombuffer(x, own.kind).tolist() for x in own.encode(all_texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in all_texts]
+    assert own.model.calls == 1
