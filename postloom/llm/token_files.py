@@ -63,7 +63,7 @@ BROADCAST_FILES = 500_000
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("ids", "<u4")])
 #: Chunks between spaces that a worker remembers, as many older ones, pre-tokens without a space that it remembers, characters of the texts it cuts at a time (of one
 #: text at least), pre-tokens of either kind that the library encodes at a time.
-CHUNKS, CACHE, CHARS, WORDS = 400_000, 50_000, 1 << 20, 4096
+CHUNKS, CACHE, CHARS, WORDS = 400_000, 50_000, 1 << 21, 1 << 14
 #: Content, in characters, that those chunks and pre-tokens may have in all.
 CACHE_CHARS = 8 << 20
 _GAP = re.compile(r" \s| $")
